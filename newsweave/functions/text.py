@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,15 @@ SENTENCE_END = r"[。！？；;\n]+"
 TERM_NOISE = r"[^\x{4e00}-\x{9fa5}A-Za-z0-9]+"
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``fn``.
+
+    Long rule chains would otherwise repeat their input at every step, both in work and in the
+    size of the generated code.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def blank_to_null(text: Column) -> Column:
     """Trimmed text, or null when nothing is left."""
     return F.nullif(F.trim(text), F.lit(""))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsweave.fixed_values import EVENT_TAG_FIELDS
 from newsweave.functions.dates import partial_date
-from newsweave.functions.text import blank_to_null
+from newsweave.functions.text import blank_to_null, let
 from newsweave.schemas import ROLE_FIELDS
 
 
@@ -101,8 +101,6 @@ def evolution_event(event: Column, as_of: Column) -> Column:
     """The short form of an event for the evolution table."""
     when = event["time_position"]
     moment = F.coalesce(F.nullif(when["moment"], F.lit("")), when["period"])
-    context = [event["event_name"]]
-    day = partial_date(moment, as_of, context)
     name = F.coalesce(event["event_name"], F.lit(""))
     who = event["relationship_characteristics"]
     roles = F.array(
@@ -115,15 +113,19 @@ def evolution_event(event: Column, as_of: Column) -> Column:
             for f in ROLE_FIELDS
         ]
     )
-    return F.struct(
-        F.when(day != "", F.concat_ws("-", day, name)).otherwise(name).alias("id"),
-        event["event_id"].alias("event_id"),
-        F.coalesce(F.try_element_at(event["attribute_characteristics"], F.lit("event_type")), F.lit("")).alias("type"),
-        day.alias("date"),
-        F.coalesce(event["space_position"]["place_name"], F.lit("")).alias("place"),
-        event["trigger_word"].alias("triggers"),
-        F.filter(roles, lambda r: _filled(r["entity"])).alias("roles"),
-    )
+
+    def short(day: Column) -> Column:
+        return F.struct(
+            F.when(day != "", F.concat_ws("-", day, name)).otherwise(name).alias("id"),
+            event["event_id"].alias("event_id"),
+            F.coalesce(F.try_element_at(event["attribute_characteristics"], F.lit("event_type")), F.lit("")).alias("type"),
+            day.alias("date"),
+            F.coalesce(event["space_position"]["place_name"], F.lit("")).alias("place"),
+            event["trigger_word"].alias("triggers"),
+            F.filter(roles, lambda r: _filled(r["entity"])).alias("roles"),
+        )
+
+    return let(partial_date(moment, as_of, [event["event_name"]]), short)
 
 
 def event_description(event: Column) -> Column:

@@ -2,4 +2,5 @@
 
 from newsweave.plans import (  # noqa: F401
     source_queries,
+    text_queries,
 )
