@@ -1,6 +1,7 @@
 """Imports every module that registers queries."""
 
 from newsweave.plans import (  # noqa: F401
+    graph_queries,
     source_queries,
     text_queries,
 )
