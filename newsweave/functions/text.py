@@ -65,8 +65,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(unlinked, r"\s+", " "))
 
 
-def embedding_text(title: Column, content: Column, max_chars: int = EMBED_CHARS) -> Column:
-    body = F.substring(squeeze(F.coalesce(content, F.lit(""))), 1, max_chars)
+def embedding_text(title: Column, content: Column, max_chars: int | None = EMBED_CHARS) -> Column:
+    """Title and body in one text; ``max_chars=None`` keeps the whole body."""
+    body = squeeze(F.coalesce(content, F.lit("")))
+    if max_chars is not None:
+        body = F.substring(body, 1, max_chars)
     return F.trim(F.concat(squeeze(F.coalesce(title, F.lit(""))), F.lit("。"), body))
 
 

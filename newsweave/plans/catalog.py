@@ -2,6 +2,8 @@
 
 from newsweave.plans import (  # noqa: F401
     graph_queries,
+    hot_queries,
     source_queries,
+    stat_queries,
     text_queries,
 )
