@@ -3,6 +3,7 @@
 from newsweave.plans import (  # noqa: F401
     graph_queries,
     hot_queries,
+    model_queries,
     source_queries,
     stat_queries,
     text_queries,
