@@ -6,5 +6,6 @@ from newsweave.plans import (  # noqa: F401
     model_queries,
     source_queries,
     stat_queries,
+    stream_queries,
     text_queries,
 )
