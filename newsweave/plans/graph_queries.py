@@ -11,7 +11,7 @@ from newsweave.plans.nested import FLAT, nested_docs
 from newsweave.plans.registry import query
 from newsweave.plans.text_queries import _KIND
 from newsweave.plans.views import table, view
-from newsweave.session import scratch_path
+from newsweave.session import cut, scratch_path
 from newsweave.sources import sinks
 
 _TOKENS = r"""
@@ -145,7 +145,7 @@ _CLEAN = f"""
       CASE WHEN relation LIKE '%person%' THEN 'character' ELSE 'organization' END FROM et""",
 )
 def clean_edges(spark, sf_dir):
-    classified = edges.classify_edges(view(spark, sf_dir, "v_rel"), "rel")
+    classified = cut(edges.classify_edges(view(spark, sf_dir, "v_rel"), "rel"))
     events = edges.event_event_edges(classified, "pos").withColumn("kind", F.lit("event-event"))
     to_targets = edges.event_target_edges(classified, "pos").withColumn("kind", F.lit("event-target"))
     return events.unionByName(to_targets, allowMissingColumns=True)
@@ -153,7 +153,7 @@ def clean_edges(spark, sf_dir):
 
 def whole_edge_table(spark, sf_dir):
     kb = view(spark, sf_dir, "v_kb")
-    classified = edges.classify_edges(view(spark, sf_dir, "v_rel"), "rel")
+    classified = cut(edges.classify_edges(view(spark, sf_dir, "v_rel"), "rel"))
     mapped, _ = assigned(spark, sf_dir)
     to_targets = mapped.select("src", "relation", F.col("target_id").alias("dst"))
     links, _ = targets.target_links(kb, targets.index_by_kind(kb))

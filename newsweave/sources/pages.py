@@ -20,9 +20,11 @@ def _found(html: Column, pattern: str) -> Column:
 
 
 def _body(html: Column) -> Column:
-    by_class = [rf"(?is)<div[^>]*class=[\"'][^\"']*\b{name}\b[^\"']*[\"'][^>]*>(.*?)</div>" for name in BODY_CLASSES]
-    by_class.append(r"(?is)<div[^>]*class=[\"'][^\"']*article__content[^\"']*[\"'][^>]*>(.*?)</div>")
-    return F.coalesce(*[_found(html, p) for p in [*by_class[:-1], ARTICLE, by_class[-1]]])
+    def by_class(name: str) -> Column:
+        pattern = rf"(?is)<div[^>]*class=[\"'][^\"']*\b{name}\b[^\"']*[\"'][^>]*>(.*?)</div>"
+        return F.when(html.contains(name), _found(html, pattern))
+
+    return F.coalesce(*[by_class(c) for c in BODY_CLASSES], _found(html, ARTICLE), by_class("article__content"))
 
 
 def publish_time(html: Column) -> Column:
@@ -38,15 +40,24 @@ def image_links(html: Column) -> Column:
 
 
 def page_news(pages: DataFrame, as_of: Column) -> DataFrame:
-    """Title, body text, time and images of each page; pages without a body are dropped."""
+    """Title, body text, time and images of each page; pages without a body are dropped.
+
+    A page is read once: the row is built and tested inside one array, because a plain filter on
+    the body would be pushed below the projection and match every pattern again.
+    """
     html = F.col("html")
-    return pages.select(
-        *[c for c in pages.columns if c != "html"],
-        strip_html(F.coalesce(_found(html, FIRST_HEADING), F.lit(""))).alias("title"),
-        strip_html(_body(html)).alias("content"),
-        F.coalesce(publish_time(html), as_of).alias("time"),
-        image_links(_body(html)).alias("images"),
-    ).where(F.coalesce(F.col("content"), F.lit("")) != "")
+
+    def row(body: Column) -> Column:
+        return F.struct(
+            strip_html(F.coalesce(_found(html, FIRST_HEADING), F.lit(""))).alias("title"),
+            strip_html(body).alias("content"),
+            F.coalesce(publish_time(html), as_of).alias("time"),
+            image_links(body).alias("images"),
+        )
+
+    rows = F.transform(F.array(_body(html)), row)
+    kept = F.filter(rows, lambda r: F.coalesce(r["content"], F.lit("")) != "")
+    return pages.select(*[c for c in pages.columns if c != "html"], F.inline(kept))
 
 
 def url_host(url: Column) -> Column:
