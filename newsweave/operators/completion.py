@@ -67,7 +67,7 @@ def shortlist(
     rerank: int = COMPLETION_RERANK, max_return: int | None = COMPLETION_RETURN, model_score: float = MODEL_SCORE,
 ) -> DataFrame:
     """The first candidates per question, known answers excluded, fused, filtered, best ones first."""
-    first = top_n_per_key(candidates, ["task"], [F.col("rank")], rerank)
+    first = top_n_per_key(candidates, ["task"], [F.col("rank")], rerank, spread=False)
     fresh = first.join(answers, ["kind", "src", "r", "id"], "left_anti")
     fused = fresh.withColumn("score_llm", F.lit(model_score)).withColumn(
         "score_fused", F.col("score_kge") * 0.9 + F.col("score_llm")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsweave.fixed_values import (
@@ -42,8 +42,8 @@ def word_cloud(docs: DataFrame, text: str, limit: int | None = None, top: int =
     valid = (F.length("name") > 1) & ~F.col("name").isin(STOP_WORDS) & ~F.col("name").rlike(r"^\d+$")
     counted = words.where(valid).groupBy("name").agg(F.count("*").alias("raw"))
     best = counted.orderBy(F.desc("raw"), "name").limit(top)
-    peak = best.agg(F.max("raw").alias("_peak"))
-    return best.join(F.broadcast(peak)).select("name", F.round(F.col("raw") / F.col("_peak"), 4).alias("value"), "raw")
+    peak = F.max("raw").over(Window.partitionBy())  # over the few rows left
+    return best.select("name", F.round(F.col("raw") / peak, 4).alias("value"), "raw")
 
 
 # -- clusters --------------------------------------------------------------------------------
@@ -266,7 +266,7 @@ def extractive_summaries(docs: DataFrame, key: str, keywords: Column, max_chars:
     """The two best sentences of each document in text order, cut."""
     rows = sentences(docs, [key]).withColumn("score", sentence_score(F.col("sentence"), keywords))
     order = [F.desc("score"), F.desc(F.length("sentence")), F.col("at")]
-    best = top_n_per_key(rows, [key], order, 2)
+    best = top_n_per_key(rows, [key], order, 2, spread=False)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "sentence"))), lambda x: x["sentence"])
     joined = best.groupBy(key).agg(F.array_join(listed, "。").alias("abstract"))
     return joined.withColumn("abstract", F.substring("abstract", 1, max_chars))

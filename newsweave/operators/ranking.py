@@ -9,22 +9,26 @@ from pyspark.sql import functions as F
 
 from newsweave.session import cut
 
-# Spark prunes `row_number() <= n` before the shuffle only up to this n.
-GROUP_LIMIT = 1000
 SALTS = 64
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def top_n_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None, spread: bool = True
 ) -> DataFrame:
     """Keep the first ``n`` rows of every key in ``order``; ``rank`` keeps the position.
 
-    Small n: one window, which Spark trims per partition before shuffling.
-    Large n: the key is split over salts and trimmed there first, so no task sorts a whole hot key.
+    Spark trims each partition to n rows per key before it shuffles (up to a threshold, raised here
+    where needed). With ``spread`` the survivors are first ranked per key and salt, so that a key that
+    occurs in every partition is not gathered in one task: at most SALTS * n rows of it are.
+    ``spread=False`` saves that step where the rows per key are known to be few.
     """
     name = rank or "_rank"
-    if n > GROUP_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in _hashable(df)]), F.lit(SALTS)))
+    session = df.sparkSession
+    if n > int(session.conf.get(GROUP_LIMIT, "1000")):
+        session.conf.set(GROUP_LIMIT, str(n))
+    if spread:
+        salted = df.withColumn("_salt", F.spark_partition_id() % SALTS)
         split = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = salted.withColumn("_pre", F.row_number().over(split)).where(F.col("_pre") <= n).drop("_pre", "_salt")
     whole = Window.partitionBy(*keys).orderBy(*order)
@@ -32,10 +36,6 @@ def top_n_per_key(
     return ranked if rank else ranked.drop(name)
 
 
-def _hashable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-
-
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of every key as an aggregate: combined before the shuffle, no sort per key."""
     rest = [c for c in df.columns if c not in keys]

@@ -17,17 +17,26 @@ from newsweave.sources import feed, files, news, pages, sinks
     covers="S1 U1",
     views=("v_news",),
     oracle="""
-    SELECT doc_id, source, title, CAST(pub_date AS VARCHAR) AS published FROM (
-      SELECT *, row_number() OVER (PARTITION BY source ORDER BY pub_date DESC, doc_id) AS rn FROM v_news)
-    WHERE rn <= 5000""",
+    WITH whole AS (
+      SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, source, title, CAST(pub_date AS VARCHAR) AS published, CAST(NULL AS VARCHAR) AS url FROM v_news
+      UNION ALL SELECT 'p' || CAST(page_id AS VARCHAR), 'pages', NULL, '2024-01-15', url FROM pages
+      UNION ALL SELECT 'c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), 'talks', text, NULL, NULL FROM conversations)
+    SELECT id, source, title, published, url FROM (
+      SELECT *, row_number() OVER (PARTITION BY source ORDER BY published DESC NULLS LAST, id) AS rn FROM whole) WHERE rn <= 5000""",
 )
 def newest_news_per_source(spark, sf_dir):
-    """Every source as its own table, tagged and united, then the newest rows of each."""
-    docs = view(spark, sf_dir, "v_news")
-    by_language = [docs.where(F.col("keyword") == lang) for lang in ("en", "fr", "de", "es")]
-    united = news.union_sources(by_language)
-    newest = news.newest_per_source(united, [F.desc("pub_date"), F.col("doc_id")])
-    return newest.select("doc_id", "source", "title", F.col("pub_date").cast("string").alias("published"))
+    """Three kinds of source with different columns, tagged and united, then the newest rows of each source."""
+    docs = view(spark, sf_dir, "v_news").select(
+        F.concat(F.lit("d"), "doc_id").alias("id"), "source", "title", F.col("pub_date").cast("string").alias("published")
+    )
+    stored = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("p"), "page_id").alias("id"), F.lit("pages").alias("source"), F.lit("2024-01-15").alias("published"), "url"
+    )
+    talks = table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), F.lit("talks").alias("source"), F.col("text").alias("title")
+    )
+    united = news.union_sources([docs, stored, talks])
+    return news.newest_per_source(united, [F.desc_nulls_last("published"), F.col("id")])
 
 
 @query(
