@@ -24,7 +24,7 @@ def vectors(spark, sf_dir):
 def comparable_docs(spark, sf_dir):
     """Documents as events: one row per exact text, the language as place."""
     docs = view(spark, sf_dir, "v_news")
-    kept = exact_duplicates(spark, sf_dir).where(~F.col("is_duplicate")).select("doc_id")
+    kept = cut(exact_duplicates(spark, sf_dir).where(~F.col("is_duplicate")).select("doc_id"))
     return docs.join(kept, "doc_id", "left_semi").select(
         F.col("doc_id").alias("id"), F.col("title").alias("name"), F.col("content").alias("text"),
         F.lit(None).cast("string").alias("time"), F.col("keyword").alias("place"),

@@ -50,3 +50,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder and go on from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_work(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by the keys into a fixed number of partitions.
+
+    For work that is heavy per row but small in bytes: adaptive execution would merge such partitions
+    into few tasks, and an explicit number keeps it from doing so.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
