@@ -1,4 +1,4 @@
-"""Reference-shaped views over the given tables.
+"""Views that give the provided tables the shapes the jobs read.
 
 One statement per view serves both engines: Spark runs it over DataFrames, the comparison
 statement uses it as a CTE. Placeholders name the inputs.
