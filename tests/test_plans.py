@@ -2,7 +2,7 @@
 
 import pytest
 
-from __spark_entry__ import queries
+from newsweave.plans import QUERIES
 from newsweave.plans.views import view
 
 SF = "/root/testdata/sf0.001"
@@ -12,21 +12,21 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join(spark, name):
-    text = plan(queries()[name](spark, SF))
+    text = plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
 def test_columns_and_filters_reach_the_scan(spark):
-    text = plan(queries()["word_cloud"](spark, SF))
+    text = plan(QUERIES["word_cloud"](spark, SF))
     assert "ReadSchema: struct<text:string>" in text
-    text = plan(queries()["best_detections"](spark, SF))
+    text = plan(QUERIES["best_detections"](spark, SF))
     assert "ReadSchema: struct<user_id:bigint,event_type:string,value:double>" in text
     text = plan(view(spark, SF, "v_ev").where("event_type = 'error'").select("eid"))
     assert "EqualTo(event_type,error)" in text
 
 
 def test_top_n_is_trimmed_before_the_shuffle(spark):
-    text = plan(queries()["newest_news_per_source"](spark, SF))
+    text = plan(QUERIES["newest_news_per_source"](spark, SF))
     assert "WindowGroupLimit" in text and "5000, Partial" in text
