@@ -21,7 +21,7 @@ from newsweave.session import cut
 
 MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
-BUCKETS = 1 << 16
+BUCKETS = 1 << 13
 SEED = "mix"
 
 

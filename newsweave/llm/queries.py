@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import chat, mixing, quality, simhash
+from newsweave.llm import anchor_dedup, chat, mixing, quality, simhash, suffix_dedup
 from newsweave.llm.columns import table
 from newsweave.llm.registry import query
 from newsweave.session import cut
@@ -136,3 +136,49 @@ def op7_schema_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+OP4_SQL = r"""
+WITH t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w, row_number() OVER () AS rid FROM documents),
+runs AS (SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM t WHERE len(w) >= 35)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY md5(g)) AS n FROM runs) WHERE n > 1),
+gone AS (SELECT DISTINCT rid, i + k AS i FROM twice, range(0, 35) r(k)),
+kept AS (
+  SELECT rid, string_agg(x, ' ' ORDER BY i) AS k, count(*) AS n FROM (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t)
+  ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (rid)
+"""
+
+
+@query("op4_fixed_block_anchors", OP4_SQL)
+def op4_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = anchor_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP6_SQL = r"""
+WITH t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rid, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT rid, s, md5(h[2 * s + 1:2 * s + 200]) AS x FROM (SELECT rid, h, unnest(range(0, len(h) // 2 - 99)) AS s FROM t WHERE len(h) >= 200)),
+again AS (SELECT rid, s FROM (SELECT rid, s, row_number() OVER (PARTITION BY x ORDER BY rid, s) AS n FROM strings) WHERE n > 1),
+spans AS (
+  SELECT rid, min(s) AS a, max(s) + 100 AS b FROM (
+    SELECT rid, s, sum(fresh) OVER (PARTITION BY rid ORDER BY s) AS k FROM (
+      SELECT rid, s, CASE WHEN s > lag(s) OVER (PARTITION BY rid ORDER BY s) + 100 THEN 1 ELSE 0 END AS fresh FROM again))
+  GROUP BY rid, k),
+parts AS (
+  SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before, row_number() OVER (PARTITION BY rid ORDER BY a DESC) = 1 AS last FROM spans),
+kept AS (
+  SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans,
+         string_agg(h[2 * before + 1:2 * a] || CASE WHEN last THEN h[2 * b + 1:] ELSE '' END, '' ORDER BY a) AS k
+  FROM parts JOIN t USING (rid) GROUP BY rid)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM t LEFT JOIN kept USING (rid)
+"""
+
+
+@query("op6_suffix_array_dedup", OP6_SQL)
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
