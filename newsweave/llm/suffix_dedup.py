@@ -26,7 +26,9 @@ WINDOW = 100
 SEED = 32
 REACH = WINDOW - SEED + 1
 PIECE_BITS = 20
-SLICE = 40_000
+#: Entries sorted at a time, and bytes of text per bucket of seeds.
+SLICE = 12_000
+BUCKET_BYTES = 24 << 20
 
 HEAD = np.dtype([("id", "<i8"), ("at", "<i8"), ("rest", "<u4"), ("n", "u1"), ("off", "u1")])
 RUN = np.dtype([("entry", "<u4"), ("first", "u1"), ("last", "u1")])
@@ -240,7 +242,7 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
     the order of their text. Texts under WINDOW bytes lose nothing. Kept bytes that no longer form a
     character are left out of the text (not of the digest). An empty table gives an empty table.
     """
-    groups, buckets = ex.deal(docs, text, doc_id)
+    groups, buckets = ex.deal(docs, text, doc_id, BUCKET_BYTES)
     seeds = ex.answer(ex.ask(groups, lambda g: ask_seeds(g, buckets)), 1, answer_seeds)
     contexts = ex.answer(ex.ask_again(groups, seeds, lambda g, heard: ask_contexts(g, heard, buckets)), 2, answer_contexts)
     others = [c for c in docs.columns if c != text]
