@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import anchor_dedup, chat, mixing, quality, simhash, suffix_dedup
+from newsweave.llm import anchor_dedup, chat, language_model, mixing, quality, simhash, suffix_dedup
 from newsweave.llm.columns import table
 from newsweave.llm.registry import query
 from newsweave.session import cut
@@ -182,3 +182,9 @@ FROM t LEFT JOIN kept USING (rid)
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op10_log_frequency_bloom")
+def op10_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = language_model.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
