@@ -169,8 +169,7 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     groups, buckets = ex.deal(docs, text, doc_id)
     anchors = ex.answer(ex.ask(groups, lambda g: ask_anchors(g, buckets)), 1, answer_anchors)
     runs = ex.answer(ex.ask_again(groups, anchors, lambda g, heard: ask_runs(g, heard, buckets)), 2, answer_runs)
-    others = [c for c in docs.columns if c != text]
-    kinds = {f"c{i}": docs.schema[c].dataType.simpleString() for i, c in enumerate(others)}
+    kinds = {f"c{i}": kind for i, (_, kind, _) in enumerate(ex.transport(docs, text))}
     extra = {"n_words": "long", "n_removed": "long", "kept_sha256": "string", "kept_text": "string"}
 
     def finish(rows: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
@@ -190,4 +189,4 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     schema = ", ".join(f"`{n}` {k}" for n, k in {**kinds, **extra}.items())
     done = groups.groupBy("g").cogroup(anchors.unionByName(runs).groupBy("g")).applyInPandas(finish, schema)
-    return done.select(*[done[f"c{i}"].alias(c) for i, c in enumerate(others)], *extra)
+    return ex.returned(done, docs, text, [e.split()[0] for e in extra])

@@ -17,6 +17,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GROUP_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
@@ -37,11 +38,10 @@ def deal(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_byt
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     groups, buckets = max(1, math.ceil(total / GROUP_BYTES)), max(1, math.ceil(total / (bucket_bytes or BUCKET_BYTES)))
-    others = [c for c in docs.columns if c != text]
     rows = docs.select(
         F.pmod(F.xxhash64(doc_id, text), F.lit(groups)).cast("int").alias("g"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"),
-        *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)],
+        *[F.col(f"`{name}`").cast(kind).alias(f"c{i}") for i, (name, kind, _) in enumerate(transport(docs, text))],
         F.coalesce(F.col(text), F.lit("")).alias("t"),
     )
 
@@ -56,6 +56,22 @@ def deal(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_byt
     return rows.mapInPandas(pack, fields).repartition(parts, "g"), buckets
 
 
+def transport(docs: DataFrame, text: str) -> list[tuple[str, str, T.DataType]]:
+    """Name, type on the way and own type of every column but the text.
+
+    Numbers, dates and the like travel as strings, so that nulls and large numbers come back as they were.
+    """
+    whole = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
+    return [(f.name, f.dataType.simpleString() if isinstance(f.dataType, whole) else "string", f.dataType) for f in docs.schema if f.name != text]
+
+
+def returned(done: DataFrame, docs: DataFrame, text: str, extra: list[str]) -> DataFrame:
+    """The input's columns with their own types, then ``extra``, which replace input columns of the same name."""
+    sent = transport(docs, text)
+    own = [done[f"c{i}"].cast(kind).alias(name) for i, (name, _, kind) in enumerate(sent) if name not in extra]
+    return done.select(*own, *extra)
+
+
 class Group:
     """The texts of one group in the order of (id, text), as one byte array."""
 

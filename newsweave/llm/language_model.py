@@ -200,8 +200,7 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     bits = max(1 << 10, min(SEGMENT_BITS, MOST_BITS // buckets))
     shared = spark.sparkContext.broadcast(segments)
     del segments
-    others = [c for c in docs.columns if c != text]
-    kinds = {f"c{i}": docs.schema[c].dataType.simpleString() for i, c in enumerate(others)}
+    kinds = {f"c{i}": kind for i, (_, kind, _) in enumerate(ex.transport(docs, text))}
     extra = {"held_out": "boolean", "n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double"}
 
     def finish(rows: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
@@ -237,4 +236,4 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     schema = ", ".join(f"`{n}` {k}" for n, k in {**kinds, **extra}.items())
     answers = model.where("kind = 1").select("g", "bucket", "kind", "blob")
     done = groups.groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(finish, schema)
-    return done.select(*[done[f"c{i}"].alias(c) for i, c in enumerate(others)], *extra)
+    return ex.returned(done, docs, text, [e.split()[0] for e in extra])

@@ -65,7 +65,7 @@ def class_copies(classes: DataFrame) -> DataFrame:
 
 
 def mixture(docs: DataFrame, weight: Column | None = None, text: str = "text", source: str = "source", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, and the columns to carry, one row per input row.
+    """doc_id, size, source_size, target, taken, copies, and the columns to carry (named carry_...), one row per input row.
 
     ``weight`` is a small whole number per row (rows of one source are summed by it); by default the
     number of binary digits of the size, so longer documents are somewhat likelier. Null text has size 0,
@@ -73,7 +73,7 @@ def mixture(docs: DataFrame, weight: Column | None = None, text: str = "text", s
     ids share their u. An empty table gives an empty table; with all sizes 0 every target is 0.
     """
     size = word_count(F.col(text))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), size.alias("_size"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), size.alias("_size"), *[F.col(f"`{c}`").alias(f"_carry_{c}") for c in carry])
     rows = rows.withColumn("_weight", F.length(F.bin("_size")).cast("long") if weight is None else weight.cast("long"))
     rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
     classes = cut(rows.groupBy(F.col("_source").alias("source"), F.col("_weight").alias("weight")).agg(F.sum("_size").alias("words")))
@@ -119,11 +119,11 @@ def mixture(docs: DataFrame, weight: Column | None = None, text: str = "text", s
         "target",
         (taken * F.col("_size")).alias("taken"),
         taken.alias("copies"),
-        *[F.col(f"_carry_{c}").alias(c) for c in carry if c != "doc_id"],
+        *[F.col(f"`_carry_{c}`").alias(f"carry_{c}") for c in carry],
     )
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents of the mix: each as often as it is taken, with its own columns."""
     rows = mixture(docs, carry=tuple(docs.columns)).where(F.col("copies") * F.col("size") > 0)
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*[F.col(f"`carry_{c}`").alias(c) for c in docs.columns])

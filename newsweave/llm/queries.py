@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import anchor_dedup, chat, language_model, mixing, quality, simhash, suffix_dedup
+from newsweave.llm import anchor_dedup, chat, language_model, mixing, packing, quality, simhash, suffix_dedup
 from newsweave.llm.columns import table
 from newsweave.llm.registry import query
 from newsweave.session import cut
@@ -188,3 +189,10 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = language_model.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op5_mixture_packing")
+def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    names = ["doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source"]
+    return rows.select(*names)

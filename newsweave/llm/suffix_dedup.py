@@ -245,8 +245,7 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
     groups, buckets = ex.deal(docs, text, doc_id, BUCKET_BYTES)
     seeds = ex.answer(ex.ask(groups, lambda g: ask_seeds(g, buckets)), 1, answer_seeds)
     contexts = ex.answer(ex.ask_again(groups, seeds, lambda g, heard: ask_contexts(g, heard, buckets)), 2, answer_contexts)
-    others = [c for c in docs.columns if c != text]
-    kinds = {f"c{i}": docs.schema[c].dataType.simpleString() for i, c in enumerate(others)}
+    kinds = {f"c{i}": kind for i, (_, kind, _) in enumerate(ex.transport(docs, text))}
     extra = ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + (["kept_text string"] if keep_text else [])
 
     def finish(rows: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
@@ -269,4 +268,4 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
 
     schema = ", ".join([f"`{n}` {k}" for n, k in kinds.items()] + extra)
     done = groups.groupBy("g").cogroup(seeds.unionByName(contexts).groupBy("g")).applyInPandas(finish, schema)
-    return done.select(*[done[f"c{i}"].alias(c) for i, c in enumerate(others)], *[e.split()[0] for e in extra])
+    return ex.returned(done, docs, text, [e.split()[0] for e in extra])
