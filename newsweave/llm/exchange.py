@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 BUCKET_BYTES = 64 << 20
 NO_ID = -(1 << 63)
 

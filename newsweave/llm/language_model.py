@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from newsweave.llm import exchange as ex
 from newsweave.session import cut
 
-SEGMENT_BITS = 1 << 24
+BUCKET_BYTES = 16 << 20
+SEGMENT_BITS = 1 << 22
 MOST_BITS = 1 << 31
 PROBES = 3
 LEVELS = 40
@@ -167,7 +168,8 @@ def trained(groups: DataFrame, buckets: int) -> DataFrame:
         words, counts, two, two_counts, sizes = [], [], [], [], []
         for blob in rows["blob"]:
             w, c, p, k = read_counts(blob)
-            words.append(w), counts.append(c), two.append(p), two_counts.append(k), sizes.append(len(w))
+            for held, part in ((words, w), (counts, c), (two, p), (two_counts, k), (sizes, len(w))):
+                held.append(part)
         one, total, inverse = summed(words, counts)
         pair, pair_total, _ = summed(two, two_counts)
         segment = np.zeros(bits // 8, dtype=np.uint8)
@@ -192,7 +194,7 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     at most MOST_BITS, and two sums.
     """
     spark = docs.sparkSession
-    groups, buckets = ex.deal(docs, text, doc_id)
+    groups, buckets = ex.deal(docs, text, doc_id, BUCKET_BYTES)
     model = cut(trained(groups, buckets))
     sums = model.where("kind = 9").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     total, distinct = int(sums[0]), int(sums[1])

@@ -28,7 +28,8 @@ from newsweave.session import cut
 SEQUENCE = 2048
 PACKET = 256
 CLOSING = 1
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
+WORDS_AT_ONCE = 16
 QUEUE_BUCKETS = 4096
 BUCKET_TOKENS = 1 << 19
 FAN = 4096
@@ -52,7 +53,7 @@ class WordIds:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def learn(self, words: set[bytes]) -> None:
-        new = sorted(words - self.known.keys())
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known = {w: self.known[w] for w in words if w in self.known}
         texts = [w.decode("utf-8", "replace") for w in new]
@@ -60,8 +61,8 @@ class WordIds:
         for i in alone:
             self.known[new[i]] = np.array(self.one(texts[i]), dtype="<u2").tobytes()
         together = [i for i, t in enumerate(texts) if MARK not in t]
-        for at in range(0, len(together), 4096):
-            part = together[at : at + 4096]
+        for at in range(0, len(together), WORDS_AT_ONCE):
+            part = together[at : at + WORDS_AT_ONCE]
             ids = np.array(self.one(f" {MARK} ".join(["", *[texts[i] for i in part], ""])), dtype="<u2")
             width = len(self.mark)
             hit = np.ones(len(ids) - width + 1, dtype=bool)
@@ -73,13 +74,10 @@ class WordIds:
                 self.known[new[i]] = ids[a:b].tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Per text the ids of its words, then CLOSING."""
+        """Per text the ids of its words (learnt before), then CLOSING."""
         closing = np.array([CLOSING], dtype="<u2").tobytes()
         for text in texts:
             words = (text or "").encode("utf-8", "replace").split()
-            missing = set(words) - self.known.keys()
-            if missing:
-                self.learn(set(words))
             yield b"".join([self.known[w] for w in words]) + closing
 
 

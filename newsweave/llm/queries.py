@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import anchor_dedup, chat, language_model, mixing, packing, quality, simhash, suffix_dedup
+from newsweave.llm import anchor_dedup, chat, language_model, licenses, mixing, neighbours, packing, quality, simhash, suffix_dedup
 from newsweave.llm.columns import table
 from newsweave.llm.registry import query
 from newsweave.session import cut
@@ -196,3 +196,18 @@ def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     names = ["doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source"]
     return rows.select(*names)
+
+
+@query("op3_projection_forest")
+def op3_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+@query("op9_license_inheritance")
+def op9_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source / language / folder of a thousand ids / id."""
+    docs = table(spark, sf_dir, "documents")
+    folder = F.floor(F.col("doc_id") / 1000).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), folder, F.col("doc_id").cast("string"))
+    rows = licenses.scan(docs.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), path).alias("path")))
+    return rows.withColumnRenamed("key", "doc_id")
