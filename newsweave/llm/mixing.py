@@ -73,8 +73,7 @@ def mixture(docs: DataFrame, weight: Column | None = None, text: str = "text", s
     ids share their u. An empty table gives an empty table; with all sizes 0 every target is 0.
     """
     size = word_count(F.col(text))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), size.alias("_size"), *[F.col(f"`{c}`").alias(f"_carry_{c}") for c in carry])
-    rows = rows.withColumn("_weight", F.length(F.bin("_size")).cast("long") if weight is None else weight.cast("long"))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), size.alias("_size"), (F.length(F.bin(size)) if weight is None else weight).cast("long").alias("_weight"), *[F.col(f"`{c}`").alias(f"_carry_{c}") for c in carry])
     rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
     classes = cut(rows.groupBy(F.col("_source").alias("source"), F.col("_weight").alias("weight")).agg(F.sum("_size").alias("words")))
     targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")))
