@@ -12,6 +12,7 @@ so packets are cut at their borders and only the last window is short.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ BUCKET_TOKENS = 1 << 19
 FAN = 4096
 PIECE = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "sequence_id", "offset")])
 #: Stands between words that are encoded together; words that hold it are encoded alone.
-MARK = ""
+MARK = "\x7f"
 
 
 class WordIds:
@@ -46,39 +47,55 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = np.array(self.one(MARK), dtype=np.uint16)
+        self.mark = self.one(MARK)
+        assert len(self.mark) == 1
         self.known: dict[bytes, bytes] = {}
 
     def one(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
+        new = words.difference(self.known)
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known = {w: self.known[w] for w in words if w in self.known}
+        # The tokenizer lowers case and splits marks from letters, so parts stand for many words.
+        parts = {w: self.parts(w) for w in new}
+        self.learn_parts({p for ps in parts.values() for p in ps}.difference(self.known))
+        for word, ps in parts.items():
+            self.known[word] = b"".join([self.known[p] for p in ps])
+
+    @staticmethod
+    def parts(word: bytes) -> tuple[bytes, ...]:
+        if b"<|" in word:  # special tokens are told by case
+            return (word,)
+        low = word.lower()
+        return (low[:-1], low[-1:]) if low[-1] in b".,;:!?" and low[-2:-1].isalpha() else (low,)
+
+    def learn_parts(self, parts: set[bytes]) -> None:
+        new = list(parts)
         texts = [w.decode("utf-8", "replace") for w in new]
-        alone = [i for i, t in enumerate(texts) if MARK in t]
-        for i in alone:
-            self.known[new[i]] = np.array(self.one(texts[i]), dtype="<u2").tobytes()
-        together = [i for i, t in enumerate(texts) if MARK not in t]
+        together = []
+        for i, text in enumerate(texts):
+            if MARK in text:
+                self.known[new[i]] = np.array(self.one(text), dtype="<u2").tobytes()
+            else:
+                together.append(i)
+        mark = int(self.mark[0])
         for at in range(0, len(together), WORDS_AT_ONCE):
-            part = together[at : at + WORDS_AT_ONCE]
-            ids = np.array(self.one(f" {MARK} ".join(["", *[texts[i] for i in part], ""])), dtype="<u2")
-            width = len(self.mark)
-            hit = np.ones(len(ids) - width + 1, dtype=bool)
-            for k, m in enumerate(self.mark):
-                hit &= ids[k : len(ids) - width + 1 + k] == m
-            stops = np.flatnonzero(hit)
-            assert len(stops) == len(part) + 1
-            for i, a, b in zip(part, stops[:-1] + width, stops[1:], strict=True):
-                self.known[new[i]] = ids[a:b].tobytes()
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Per text the ids of its words (learnt before), then CLOSING."""
+            batch = together[at : at + WORDS_AT_ONCE]
+            ids = self.one(f" {MARK} ".join([texts[i] for i in batch]))
+            begin = 0
+            for i in batch:
+                end = ids.index(mark, begin) if i != batch[-1] else len(ids)
+                self.known[new[i]] = array("H", ids[begin:end]).tobytes()
+                begin = end + 1
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Per text the ids of its words, then CLOSING."""
         closing = np.array([CLOSING], dtype="<u2").tobytes()
-        for text in texts:
-            words = (text or "").encode("utf-8", "replace").split()
-            yield b"".join([self.known[w] for w in words]) + closing
+        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.known.__getitem__, words)) + closing for words in split]
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, text: str, source: str, doc_id: str) -> DataFrame:
@@ -90,7 +107,6 @@ def tokenized(docs: DataFrame, tokenizer_path: str, text: str, source: str, doc_
             sizes, data = [], []
             for at in range(0, len(batch), 256):
                 texts = batch.iloc[at : at + 256].tolist()
-                words.learn({w for t in texts if t for w in t.encode("utf-8", "replace").split()})
                 for ids in words.encode(texts):
                     sizes.append(len(ids) // 2)
                     data.append(press.compress(ids))
