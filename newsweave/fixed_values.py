@@ -20,7 +20,6 @@ HOT_DIVERSITY_WEIGHT = 0.1
 HOT_RECENCY_DAYS = 7
 HOT_EVENTS_KEPT = 10
 TITLE_LENGTH = 20
-EMBED_CHARS = 800
 SUMMARY_CHARS = 200
 FACTS_PER_EVENT = 120
 WORD_CLOUD_TOP = 40

@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsweave.fixed_values import EMBED_CHARS
 
 ALIAS_SEPARATORS = r"[、,，;；|\s]+"
 SENTENCE_END = r"[。！？；;\n]+"
@@ -33,8 +32,8 @@ def content_or_title(content: Column, title: Column) -> Column:
 
 
 def contains_any_keyword(keywords: str, columns: Sequence[Column]) -> Column:
-    """Up to eight comma-separated keywords, literal and case-insensitive, in any of the columns."""
-    words = [w.strip().lower() for w in keywords.split(",") if w.strip()][:8]
+    """Comma-separated keywords, literal and case-insensitive, in any of the columns."""
+    words = [w.strip().lower() for w in keywords.split(",") if w.strip()]
     hit = F.lit(not words)
     for column in columns:
         for word in words:
@@ -65,8 +64,8 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(unlinked, r"\s+", " "))
 
 
-def embedding_text(title: Column, content: Column, max_chars: int | None = EMBED_CHARS) -> Column:
-    """Title and body in one text; ``max_chars=None`` keeps the whole body."""
+def embedding_text(title: Column, content: Column, max_chars: int | None = None) -> Column:
+    """Title and body in one text; ``max_chars`` keeps only the start of the body."""
     body = squeeze(F.coalesce(content, F.lit("")))
     if max_chars is not None:
         body = F.substring(body, 1, max_chars)

@@ -117,11 +117,12 @@ def _char_terms(text: Column) -> Column:
 
 
 def cluster_keywords(
-    texts: DataFrame, topk: int = 5, characters: bool = False, max_features: int = 8000, max_len: int = 8
+    texts: DataFrame, topk: int = 5, characters: bool = False, max_features: int | None = None, max_len: int = 8
 ) -> DataFrame:
     """(label, rank, keyword): the terms with the largest summed tf-idf of each cluster.
 
-    ``texts`` has label, text_id and text. Weights are smoothed idf times count, unit length per
+    ``texts`` has label, text_id and text. ``max_features`` keeps the commonest terms of a cluster
+    only. Weights are smoothed idf times count, unit length per
     text. All steps are aggregates and equi joins over (label, term) and (label, text_id).
     """
     terms = (_char_terms if characters else _word_terms)(F.col("text"))
@@ -129,7 +130,8 @@ def cluster_keywords(
     tf = used.select("label", "text_id", F.explode(terms).alias("term"))
     tf = tf.groupBy("label", "text_id", "term").agg(F.count("*").alias("tf"))
     features = tf.groupBy("label", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    features = top_n_per_key(features, ["label"], [F.desc("total"), F.col("term")], max_features)
+    if max_features is not None:
+        features = top_n_per_key(features, ["label"], [F.desc("total"), F.col("term")], max_features)
     sizes = used.groupBy("label").agg(F.count("*").alias("n"))
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     idfs = features.join(sizes, "label").select("label", "term", idf.alias("idf"))

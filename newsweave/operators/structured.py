@@ -11,6 +11,7 @@ from newsweave.fixed_values import EVENT_TAG_FIELDS
 from newsweave.functions.dates import partial_date
 from newsweave.functions.text import blank_to_null, let
 from newsweave.schemas import ROLE_FIELDS
+from newsweave.session import cut
 
 
 def _filled(text: Column) -> Column:
@@ -191,34 +192,30 @@ def split_by_text(docs: DataFrame, content: str, title: str) -> tuple[DataFrame,
     return accepted, rejected
 
 
-def flatten_json(df: DataFrame, key: str, payload: str, depth: int = 8) -> DataFrame:
-    """Long form of nested JSON: dotted path and value; lists count their elements from 0.
+def flatten_json(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """Long form of nested JSON of any depth: dotted path and value; lists count their elements from 0.
 
-    Each level is one variant explode; objects go one level deeper, lists are entered once.
+    Each round explodes objects and lists alike, once, and checkpoints; the last round is the depth of the
+    deepest payload. Lists inside lists stay values. Payloads that are no object have no rows.
     """
     spark = df.sparkSession
-    level = df.select(F.col(key), F.lit("").alias("path"), F.parse_json(payload).alias("v"))
+    level = df.select(F.col(key), F.lit("").alias("path"), F.parse_json(payload).alias("v"), F.lit(False).alias("in_list"))
+    level = level.where(F.schema_of_variant("v").like("OBJECT%"))
     done = None
-    for _ in range(depth):
+    while True:
         step = spark.sql(
-            f"""SELECT t.`{key}`, t.path, x.key AS member, x.value AS v, schema_of_variant(x.value) AS kind
+            f"""SELECT t.`{key}`, concat_ws('.', nullif(t.path, ''), coalesce(x.key, CAST(x.pos AS STRING))) AS path,
+                       x.value AS v, schema_of_variant(x.value) AS kind, t.in_list
                 FROM {{level}} t, LATERAL variant_explode(t.v) x""",
             level=level,
         )
-        prefix = F.when(F.col("path") == "", F.lit("")).otherwise(F.concat("path", F.lit(".")))
-        step = step.withColumn("path", F.concat(prefix, "member")).drop("member")
-        lists = spark.sql(
-            f"""SELECT t.`{key}`, concat(t.path, '.', x.pos) AS path, x.value AS v,
-                       schema_of_variant(x.value) AS kind
-                FROM {{step}} t, LATERAL variant_explode(t.v) x WHERE t.kind LIKE 'ARRAY%'""",
-            step=step,
-        )
-        rows = step.where(~F.col("kind").like("ARRAY%")).unionByName(lists)
-        leaves = rows.where(~F.col("kind").like("OBJECT%"))
-        leaves = leaves.select(key, "path", F.col("v").cast("string").alias("value"))
+        is_list = F.col("kind").like("ARRAY%") & ~F.col("in_list")
+        rows = cut(step.withColumn("nested", F.col("kind").like("OBJECT%") | is_list).withColumn("in_list", is_list).drop("kind"))
+        leaves = rows.where(~F.col("nested")).select(key, "path", F.col("v").cast("string").alias("value"))
         done = leaves if done is None else done.unionByName(leaves)
-        level = rows.where(F.col("kind").like("OBJECT%")).select(key, "path", "v")
-    return done
+        level = rows.where("nested").select(key, "path", "v", "in_list")
+        if level.isEmpty():
+            return done
 
 
 def describe_node(node: Column, properties: Column) -> Column:

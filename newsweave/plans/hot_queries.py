@@ -56,8 +56,7 @@ _KEYWORDS = r"""
     tf AS (SELECT label, text_id, term, count(*) AS tf FROM (
              SELECT label, text_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM uni)
            GROUP BY ALL),
-    feat AS (SELECT * FROM (SELECT label, term, df, row_number() OVER (PARTITION BY label ORDER BY total DESC, term) AS rn FROM (
-             SELECT label, term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY ALL)) WHERE rn <= 8000),
+    feat AS (SELECT label, term, count(*) AS df FROM tf GROUP BY ALL),
     sizes AS (SELECT label, count(*) AS n FROM txt GROUP BY label),
     wt AS (SELECT tf.label, text_id, tf.term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN feat ON tf.label = feat.label AND tf.term = feat.term
            JOIN sizes ON tf.label = sizes.label),

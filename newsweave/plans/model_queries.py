@@ -283,7 +283,7 @@ def document_vectors(spark, sf_dir):
 
     docs = view(spark, sf_dir, "v_news")
     texts = docs.select("doc_id", embedding_text(F.col("title"), F.col("content"), None).alias("text"))
-    made = learning.document_vectors(texts, "text", 256).withColumn("vec", vector_to_array("features"))
+    made = learning.document_vectors(texts, "text").withColumn("vec", vector_to_array("features"))
     norm = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
     return made.select("doc_id", F.round(norm, 6).alias("norm2"), F.array_position("vec", F.array_max("vec")).alias("top"))
 
@@ -296,7 +296,7 @@ def reduced_vectors(spark, sf_dir):
 
 @query("fallback_clusters", covers="M4")
 def fallback_clusters(spark, sf_dir):
-    made = learning.fallback_clusters(vectors(spark, sf_dir), "vec")
+    made = learning.fallback_clusters(vectors(spark, sf_dir), "vec", 64)
     return made.select("id", "label")
 
 
@@ -308,5 +308,5 @@ def classified_documents(spark, sf_dir):
     level1 = F.when(F.col("quality") == 1, "good").otherwise("poor")
     level2 = F.when(F.col("toxic") == 1, "toxic").otherwise("clean")
     train = docs.join(labels, "doc_id").select("text", level1.alias("category"), level2.alias("subcategory"))
-    made = learning.classify_two_levels(train, docs, "text", "category", "subcategory", ["good", "poor"], 1024)
+    made = learning.classify_two_levels(train, docs, "text", "category", "subcategory", ["good", "poor"])
     return made.groupBy("predicted_category", "predicted_subcategory").agg(F.count("*").alias("n_docs"))

@@ -211,9 +211,14 @@ def json_export(spark, sf_dir):
     return spark.read.schema("_id STRING, event_type STRING, ts STRING").json(path)
 
 
+#: Changed orders; every fifth key comes twice, and the row of the greater seq is the later one.
 _INCOMING = """
     SELECT o_orderkey + 7 AS o_orderkey, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_totalprice + 1 END AS o_totalprice,
-           o_orderpriority FROM {0} WHERE o_orderstatus <> 'F'"""
+           o_orderpriority, 1 AS seq FROM {0} WHERE o_orderstatus <> 'F'
+    UNION ALL SELECT o_orderkey + 7, o_totalprice - 5, 'changed again', 2 FROM {0} WHERE o_orderstatus <> 'F' AND o_orderkey % 5 = 0"""
+_LATEST = f"""
+    SELECT o_orderkey, o_totalprice, o_orderpriority FROM ({_INCOMING.format('orders')}) q
+    QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY seq DESC) = 1"""
 
 
 @query(
@@ -223,27 +228,27 @@ _INCOMING = """
     SELECT coalesce(n.o_orderkey, s.o_orderkey) AS o_orderkey, coalesce(n.o_totalprice, s.o_totalprice) AS o_totalprice,
            coalesce(n.o_orderpriority, s.o_orderpriority) AS o_orderpriority, s.o_orderstatus AS o_orderstatus,
            CASE WHEN s.o_orderkey IS NULL THEN 'insert' WHEN n.o_orderkey IS NULL THEN 'keep' ELSE 'update' END AS change
-    FROM orders s FULL OUTER JOIN ({_INCOMING.format('orders')}) n ON s.o_orderkey = n.o_orderkey""",
+    FROM orders s FULL OUTER JOIN ({_LATEST}) n ON s.o_orderkey = n.o_orderkey""",
 )
 def upsert_fields(spark, sf_dir):
     """Field-level upsert of changed orders; null incoming fields leave the stored value."""
     orders = table(spark, sf_dir, "orders")
     stored = orders.select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
-    return sinks.upsert_set(stored, spark.sql(_INCOMING.format("{o}"), o=orders), "o_orderkey")
+    return sinks.upsert_set(stored, spark.sql(_INCOMING.format("{o}"), o=orders), "o_orderkey", [F.col("seq")]).drop("seq")
 
 
 @query(
     "upsert_rows",
     covers="S9",
     oracle=f"""
-    WITH n AS ({_INCOMING.format('orders')})
+    WITH n AS ({_LATEST})
     SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM n)
     UNION ALL SELECT o_orderkey, o_totalprice, o_orderpriority FROM n""",
 )
 def upsert_rows(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     stored = orders.select("o_orderkey", "o_totalprice", "o_orderpriority")
-    return sinks.upsert_replace(stored, spark.sql(_INCOMING.format("{o}"), o=orders), "o_orderkey")
+    return sinks.upsert_replace(stored, spark.sql(_INCOMING.format("{o}"), o=orders), "o_orderkey", [F.col("seq")]).drop("seq")
 
 
 @query(
@@ -252,7 +257,7 @@ def upsert_rows(spark, sf_dir):
     oracle=f"""
     SELECT CASE WHEN s.o_orderkey IS NULL THEN 'insert' WHEN n.o_orderkey IS NULL THEN 'keep' ELSE 'update' END AS change,
            count(*) AS n_rows
-    FROM orders s FULL OUTER JOIN ({_INCOMING.format('orders')}) n ON s.o_orderkey = n.o_orderkey GROUP BY 1""",
+    FROM orders s FULL OUTER JOIN ({_LATEST}) n ON s.o_orderkey = n.o_orderkey GROUP BY 1""",
 )
 def upsert_counts(spark, sf_dir):
     return upsert_fields(spark, sf_dir).groupBy("change").agg(F.count("*").alias("n_rows"))

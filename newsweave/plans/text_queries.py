@@ -226,17 +226,19 @@ def dates_in_text(spark, sf_dir):
     UNION ALL SELECT event_id, 'meta.user.id', CAST(user_id AS VARCHAR) FROM events
     UNION ALL SELECT event_id, 'tags.0', event_type FROM events
     UNION ALL SELECT event_id, 'tags.1', 'v' FROM events
-    UNION ALL SELECT event_id, 'parts.0.n', CAST(event_id AS VARCHAR) FROM events""",
+    UNION ALL SELECT event_id, 'parts.0.n', CAST(event_id AS VARCHAR) FROM events
+    UNION ALL SELECT event_id, 'deep' || repeat('.a', event_id % 10), CAST(event_id AS VARCHAR) FROM events""",
 )
 def flattened_json(spark, sf_dir):
-    """Nested objects and lists in long form; empty objects and lists leave no row."""
+    """Nested objects and lists in long form, up to ten levels deep; empty objects and lists leave no row."""
     rows = spark.sql(
-        """SELECT event_id, to_json(named_struct('k', get_json_object(props, '$.k'), 'meta', named_struct('type', event_type,
+        """SELECT event_id, concat(chr(123), '"deep":', repeat(chr(123) || '"a":', CAST(event_id % 10 AS INT)), event_id,
+                  repeat(chr(125), CAST(event_id % 10 AS INT)), ',', substr(to_json(named_struct('k', get_json_object(props, '$.k'), 'meta', named_struct('type', event_type,
                   'user', named_struct('id', user_id)), 'tags', array(event_type, 'v'),
-                  'parts', array(named_struct('n', event_id)), 'none', array(), 'empty', named_struct())) AS doc FROM {e}""",
+                  'parts', array(named_struct('n', event_id)), 'none', array(), 'empty', named_struct())), 2)) AS doc FROM {e}""",
         e=table(spark, sf_dir, "events"),
     )
-    return structured.flatten_json(rows, "event_id", "doc", depth=3)
+    return structured.flatten_json(rows, "event_id", "doc")
 
 
 @query(
@@ -380,7 +382,7 @@ def parsed_answers(spark, sf_dir):
     views=("v_news",),
     oracle=r"""
     SELECT doc_id, trim(trim(regexp_replace(title, '\s+', ' ', 'g')) || '。' ||
-           substring(trim(regexp_replace(regexp_replace(content, 'https?://\S+', ' ', 'g'), '\s+', ' ', 'g')), 1, 800)) AS text FROM v_news""",
+           trim(regexp_replace(regexp_replace(content, 'https?://\S+', ' ', 'g'), '\s+', ' ', 'g'))) AS text FROM v_news""",
 )
 def embedding_texts(spark, sf_dir):
     tagged = F.concat(F.lit("<p class='x'>"), "content", F.lit("</p>"))

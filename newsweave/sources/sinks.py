@@ -8,17 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def upsert_replace(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Whole-row replace: incoming rows win, stored rows without a newer one stay."""
+def upsert_replace(stored: DataFrame, incoming: DataFrame, key: str, order: Sequence[Column] = ()) -> DataFrame:
+    """Whole-row replace: the latest incoming row of a key wins, stored rows without a newer one stay."""
+    incoming = latest_per_key(incoming, key, order)
     kept = stored.join(incoming.select(key), key, "left_anti")
     return kept.unionByName(incoming, allowMissingColumns=True)
 
 
-def upsert_set(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Field-level set: a non-null incoming value wins, other stored fields stay.
+def upsert_set(stored: DataFrame, incoming: DataFrame, key: str, order: Sequence[Column] = ()) -> DataFrame:
+    """Field-level set: a non-null value of the latest incoming row of a key wins, other stored fields stay.
 
     ``change`` says insert, update or keep.
     """
+    incoming = latest_per_key(incoming, key, order)
     old, new = stored.alias("old"), incoming.alias("new")
     joined = old.join(new, F.col(f"old.{key}") == F.col(f"new.{key}"), "full_outer")
     columns = list(dict.fromkeys([*stored.columns, *incoming.columns]))
@@ -33,10 +35,15 @@ def upsert_set(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return joined.select(*[value(c) for c in columns], change.alias("change"))
 
 
-def latest_per_key(rows: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """The last row of each key, as an aggregate that combines before the shuffle."""
+def latest_per_key(rows: DataFrame, key: str, order: Sequence[Column] = ()) -> DataFrame:
+    """The last row of each key, as an aggregate that combines before the shuffle.
+
+    Ties, and rows without an order, are settled by the greatest values.
+    """
     rest = [c for c in rows.columns if c != key]
-    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")
+    if not rest:
+        return rows.distinct()
+    last = F.max_by(F.struct(*rest), F.struct(*order, *rest)).alias("_last")
     return rows.groupBy(key).agg(last).select(key, "_last.*")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsweave.operators import annotations, completion, hot, structured
 from newsweave.session import scratch_path
-from newsweave.sources import feed, files, news, pages
+from newsweave.sources import feed, files, news, pages, sinks
 
 
 def test_csv_starts_with_a_mark_and_reads_back(spark):
@@ -100,10 +100,28 @@ def test_enrich_hook(spark):
 
 def test_flatten_lists_once(spark):
     rows = spark.createDataFrame([(1, json.dumps({"a": {"b": 1}, "l": [1, {"c": "x"}, [2]], "e": {}, "n": []}))], "k INT, j STRING")
-    got = {(r["path"], r["value"]) for r in structured.flatten_json(rows, "k", "j", 3).collect()}
+    got = {(r["path"], r["value"]) for r in structured.flatten_json(rows, "k", "j").collect()}
     assert got == {("a.b", "1"), ("l.0", "1"), ("l.1.c", "x"), ("l.2", "[2]")}
 
 
+def test_flatten_has_no_depth_limit(spark):
+    deep = "1"
+    for _ in range(12):
+        deep = json.dumps({"a": json.loads(deep)})
+    rows = spark.createDataFrame([(1, deep), (2, "[1, 2]"), (3, None), (4, "{}")], "k INT, j STRING")
+    flat = structured.flatten_json(rows, "k", "j")
+    assert [tuple(r) for r in flat.collect()] == [(1, ".".join("a" * 12), "1")]
+    assert structured.flatten_json(rows.where("k > 9"), "k", "j").count() == 0
+
+
+def test_upserts_take_the_latest_row(spark):
+    stored = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k INT, v STRING, at INT")
+    incoming = spark.createDataFrame([(1, "x", 2), (1, "y", 1), (3, "z", 1), (3, "z", 1)], "k INT, v STRING, at INT")
+    want = [(1, "x", 2), (2, "b", 0), (3, "z", 1)]
+    assert sorted(tuple(r) for r in sinks.upsert_replace(stored, incoming, "k", [F.col("at")]).collect()) == want
+    assert sorted(tuple(r) for r in sinks.upsert_set(stored, incoming, "k", [F.col("at")]).drop("change").collect()) == want
+
+
 def test_titles(spark):
     rows = spark.createDataFrame([("重磅！甲乙",), ("甲乙 签署合作协议。",), ("普通标题",)], "title STRING")
     rows = rows.select(F.lit(1).alias("k"), "title", F.array(F.lit("甲")).alias("terms"), F.array().cast("array<string>").alias("entities"))
