@@ -5,8 +5,10 @@ until LEAF_ROWS are left. Trees are fitted on at most SAMPLE_ROWS vectors (the s
 ids), so a forest has a bounded size and goes to the workers whole; then every row is sent down every
 tree. A question walks all trees through one priority queue: the branch not taken waits with the distance
 to the hyperplane that it would have to cross, the nearest branch over all trees is opened next, and the
-walk ends when the leaves hold SEARCH_SHARE of all rows (and at least k + 1). The rows of these leaves
-are ranked by their exact inner product. Large leaves are split into parts of PART_ROWS rows.
+walk ends when the leaves hold SEARCH_SHARE of all rows. The rows of these leaves are ranked by their
+exact inner product: parts of about PART_ROWS rows, each with its leaves, meet blocks of about BLOCK_ROWS
+questions, each with a bit per opened leaf, so neither vectors nor questions repeat per leaf and a common
+vector is no hot key.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsweave.session import cut
@@ -25,8 +27,10 @@ K = 20
 TREES = 8
 LEAF_ROWS = 128
 SAMPLE_ROWS = 50_000
-SEARCH_SHARE = 1.6
-PART_ROWS = 4_000
+SEARCH_SHARE = 1.0
+LEAST_ROWS = 4_000
+PART_ROWS = 8_192
+BLOCK_ROWS = 4_096
 SEED = 7
 
 
@@ -87,12 +91,12 @@ def nearest(vectors: DataFrame, is_question: str, k: int = K, share: float = SEA
     """query_id, rank, vec_id, score: the k best found for every row that ``is_question`` (SQL on vec_id) selects.
 
     ``share`` is the number of rows in opened leaves, over all trees, against the table (a row counts once
-    per tree). Null, zero and non-finite vectors and those of another length take no part. Repeated ids are
-    rows of their own; a row is no candidate for questions of its own id. Ties go to the smaller id. To the
-    driver come at most SAMPLE_ROWS vectors for fitting and one count per leaf.
+    per tree), LEAST_ROWS at least. Null, zero and non-finite vectors and those of another length take no
+    part. Equal rows with equal ids count once; a row is no candidate for questions of its own id. Ties go
+    to the smaller id. To the driver come at most SAMPLE_ROWS vectors for fitting and one count per leaf.
     """
     spark = vectors.sparkSession
-    rows = cut(usable(vectors, vec_id, embedding))
+    rows = cut(usable(vectors, vec_id, embedding).dropDuplicates(["vec_id", "v"]))
     total = rows.count()
     empty = "query_id long, rank int, vec_id long, score double"
     if not total:
@@ -105,55 +109,56 @@ def nearest(vectors: DataFrame, is_question: str, k: int = K, share: float = SEA
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            points = np.stack(batch["v"].tolist()).astype(np.float32) if len(batch) else np.zeros((0, 1), np.float32)
-            for t, tree in enumerate(shared.value):
-                yield batch.assign(tree=np.int32(t), leaf=leaf_of(tree, points).astype(np.int32)) if len(batch) else batch.assign(tree=[], leaf=[])
+            if len(batch):
+                points = np.stack(batch["v"].tolist()).astype(np.float32)
+                yield batch.assign(leaves=list(np.stack([leaf_of(tree, points) for tree in shared.value], axis=1).astype(np.int32)))
 
-    placed = cut(rows.mapInPandas(route, "vec_id long, v array<double>, tree int, leaf int"))
+    placed = cut(rows.mapInPandas(route, "vec_id long, v array<double>, leaves array<int>"))
     sizes = [np.zeros(len(cuts) + 1, dtype=np.int64) for _, cuts in forest]
-    for r in placed.groupBy("tree", "leaf").count().collect():
+    for r in placed.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect():
         sizes[r["tree"]][r["leaf"]] = r["count"]
     counted = spark.sparkContext.broadcast(sizes)
-    wanted = max(k + 1, share * total) * 1.0 if share < TREES else float("inf")
+    wanted = max(LEAST_ROWS, (k + 1) * TREES, share * total)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for i, v in zip(batch["vec_id"], batch["v"], strict=True):
-                # A row lies in one leaf per tree, so the rows of a tree's leaves differ: k + 1 of one tree are enough.
-                found = walk(shared.value, counted.value, np.asarray(v, dtype=np.float32), max(wanted, (k + 1) * TREES))
-                out += [(i, v, t, leaf, p) for t, leaf in found for p in range(-(-int(counted.value[t][leaf]) // PART_ROWS))]
-            yield pd.DataFrame(out, columns=["query_id", "q", "tree", "leaf", "part"]).astype({"tree": "int32", "leaf": "int32", "part": "int32"})
-
-    asked = rows.where(is_question).mapInPandas(ask, "query_id long, q array<double>, tree int, leaf int, part int")
-
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            n = np.array([-(-int(counted.value[t][leaf]) // PART_ROWS) for t, leaf in zip(batch["tree"], batch["leaf"], strict=True)])
-            spread = (batch["vec_id"].to_numpy() * 2654435761 % 1000003) % np.maximum(n, 1)
-            yield batch.assign(part=spread.astype("int32"))
-
-    dealt = placed.mapInPandas(parts, "vec_id long, v array<double>, tree int, leaf int, part int")
+            opened = []
+            for v in batch["v"]:
+                marks = [np.zeros(len(s), dtype=bool) for s in counted.value]
+                for t, leaf in walk(shared.value, counted.value, np.asarray(v, dtype=np.float32), wanted):
+                    marks[t][leaf] = True
+                opened.append(np.packbits(np.concatenate(marks)).tobytes())
+            yield pd.DataFrame({"query_id": batch["vec_id"], "q": batch["v"], "opened": opened})
+
+    asked = cut(rows.where(is_question).mapInPandas(ask, "query_id long, q array<double>, opened binary"))
+    n_parts, n_blocks = -(-total // PART_ROWS), max(1, -(-asked.count() // BLOCK_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    number = F.monotonically_increasing_id()
+    dealt = placed.withColumn("part", F.pmod(number, F.lit(n_parts)).cast("int")).withColumn("block", every(n_blocks))
+    asking = asked.withColumn("block", F.pmod(number, F.lit(n_blocks)).cast("int")).withColumn("part", every(n_parts))
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        points, ids = np.stack(left["v"].tolist()), left["vec_id"].to_numpy()
-        out = []
-        for at in range(0, len(right), 512):
-            block = right.iloc[at : at + 512]
-            questions = np.stack(block["q"].tolist())
-            scores = np.zeros((len(block), len(points)))
-            for d in range(points.shape[1]):  # one order of addition for all, so equal vectors have equal scores
-                scores += questions[:, d : d + 1] * points[None, :, d]
-            for q, line in zip(block["query_id"], scores, strict=True):
-                best = np.lexsort((ids, -line))
-                best = best[ids[best] != q][:k]
-                out.append((np.full(len(best), q), ids[best], line[best]))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(left) and len(right):
+            points, ids = np.stack(left["v"].tolist()), left["vec_id"].to_numpy()
+            first = np.cumsum([0] + [len(s) for s in counted.value])
+            places = (np.stack(left["leaves"].tolist()) + first[:-1]).T
+            for q, vector, bits in zip(right["query_id"], right["q"], right["opened"], strict=True):
+                opened = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).view(bool)
+                held = np.flatnonzero(np.logical_or.reduce([opened[p] for p in places]) & (ids != q))
+                if len(held) > k:
+                    # Near the k-th score all stay, so rounding decides nothing here.
+                    rough = points[held] @ vector
+                    edge = np.partition(rough, -k)[-k]
+                    held = held[rough >= edge - 1e-9 * (1 + abs(edge))]
+                score = np.zeros(len(held))
+                for d in range(points.shape[1]):  # one order of addition for all, so equal vectors have equal scores
+                    score += points[held, d] * vector[d]
+                best = np.lexsort((ids[held], -score))
+                out.append((np.full(len(best), q), ids[held][best], score[best]))
         return pd.DataFrame({n: np.concatenate([o[i] for o in out]) for i, n in enumerate(("query_id", "vec_id", "score"))})
 
-    keys = ("tree", "leaf", "part")
-    met = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
-    found = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-    best = met.groupBy("query_id").agg(found.alias("f")).select("query_id", F.posexplode("f").alias("p", "f"))
-    return best.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.s")).alias("score"))
+    met = dealt.groupBy("part", "block").cogroup(asking.groupBy("part", "block")).applyInPandas(rank, "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = met.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).dropDuplicates(["query_id", "rank"])
+    return best.select("query_id", "rank", "vec_id", "score")
