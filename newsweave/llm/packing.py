@@ -12,8 +12,10 @@ so packets are cut at their borders and only the last window is short.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,11 @@ FAN = 4096
 PIECE = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "sequence_id", "offset")])
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 MARK = "\x7f"
+#: Small Latin letters, which normalizing leaves alone, and a word of them with ASCII marks behind.
+LETTERS = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
+LETTER_RUN = re.compile(LETTERS)
+PLAIN_WORD = re.compile(b"(" + LETTERS + rb")([!-/:-@\[-`{-~]*)")
+LATIN = [chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha()]
 
 
 class WordIds:
@@ -49,6 +56,9 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.one(MARK)
         assert len(self.mark) == 1
+        self.by_letters = self.tokenizer.model.tokenize
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.spelled = str.maketrans({c: split(c)[0][0] for c in LATIN})
         self.known: dict[bytes, bytes] = {}
 
     def one(self, text: str) -> list[int]:
@@ -69,25 +79,28 @@ class WordIds:
         if b"<|" in word:  # special tokens are told by case
             return (word,)
         low = word.lower()
-        return (low[:-1], low[-1:]) if low[-1] in b".,;:!?" and low[-2:-1].isalpha() else (low,)
+        plain = PLAIN_WORD.fullmatch(low)
+        return (low,) if plain is None else plain.groups() if plain[2] else (low,)
 
     def learn_parts(self, parts: set[bytes]) -> None:
-        new = list(parts)
-        texts = [w.decode("utf-8", "replace") for w in new]
-        together = []
-        for i, text in enumerate(texts):
-            if MARK in text:
-                self.known[new[i]] = np.array(self.one(text), dtype="<u2").tobytes()
+        together, texts = [], []
+        for part in parts:
+            text = part.decode("utf-8", "replace")
+            if LETTER_RUN.fullmatch(part):  # one piece to the tokenizer: straight to its model
+                self.known[part] = array("H", [t.id for t in self.by_letters(text if text.isascii() else text.translate(self.spelled))]).tobytes()
+            elif MARK in text:
+                self.known[part] = array("H", self.one(text)).tobytes()
             else:
-                together.append(i)
+                together.append(part)
+                texts.append(text)
         mark = int(self.mark[0])
         for at in range(0, len(together), WORDS_AT_ONCE):
             batch = together[at : at + WORDS_AT_ONCE]
-            ids = self.one(f" {MARK} ".join([texts[i] for i in batch]))
+            ids = self.one(f" {MARK} ".join(texts[at : at + WORDS_AT_ONCE]))
             begin = 0
-            for i in batch:
-                end = ids.index(mark, begin) if i != batch[-1] else len(ids)
-                self.known[new[i]] = array("H", ids[begin:end]).tobytes()
+            for part in batch:
+                end = ids.index(mark, begin) if part != batch[-1] else len(ids)
+                self.known[part] = array("H", ids[begin:end]).tobytes()
                 begin = end + 1
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -98,11 +111,17 @@ class WordIds:
         return [b"".join(map(self.known.__getitem__, words)) + closing for words in split]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One per Python worker, kept from task to task; it knows at most CACHED_WORDS words."""
+    return WordIds(path)
+
+
 def tokenized(docs: DataFrame, tokenizer_path: str, text: str, source: str, doc_id: str) -> DataFrame:
     """_row, doc_id, source, n, data (compressed 16-bit ids)."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words, press = WordIds(tokenizer_path), zstandard.ZstdCompressor(level=1)
+        words, press = word_ids(tokenizer_path), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             sizes, data = [], []
             for at in range(0, len(batch), 256):
