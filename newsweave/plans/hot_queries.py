@@ -10,6 +10,7 @@ from newsweave.operators import hot
 from newsweave.plans.registry import query
 from newsweave.plans.stat_queries import _TIMES
 from newsweave.plans.views import table, view
+from newsweave.session import cut
 
 
 def as_of():
@@ -42,7 +43,10 @@ def cluster_rollup(spark, sf_dir):
 
 
 def cluster_texts(spark, sf_dir):
-    docs = hot.cluster_members(view(spark, sf_dir, "v_hot"))
+    return member_texts(hot.cluster_members(view(spark, sf_dir, "v_hot")))
+
+
+def member_texts(docs):
     bodies = docs.select("label", (F.col("doc_id") * 2).alias("text_id"), embedding_text(F.col("title"), F.col("content"), None).alias("text"))
     titles = docs.select("label", (F.col("doc_id") * 2 + 1).alias("text_id"), F.col("title").alias("text"))
     return bodies.unionByName(titles)
@@ -107,11 +111,12 @@ def cluster_char_keywords(spark, sf_dir):
     FROM roll JOIN times USING (label) JOIN lists USING (label) ORDER BY score DESC, event_id LIMIT 10""",
 )
 def top_hot_events(spark, sf_dir):
-    """The ranked hot events with keywords and a title, from clustered documents."""
+    """The ranked hot events with keywords and a title; texts are read for the ranked clusters only."""
     members, events = rollup(spark, sf_dir)
-    best = hot.top_events(events)
-    lists = hot.keyword_lists(hot.cluster_keywords(cluster_texts(spark, sf_dir)))
-    ends = hot.title_ends(members, "label", [F.col("doc_id")])
+    best = cut(hot.top_events(events))
+    chosen = members.join(best.select("label"), "label", "left_semi")
+    lists = hot.keyword_lists(hot.cluster_keywords(member_texts(chosen)))
+    ends = hot.title_ends(chosen, "label", [F.col("doc_id")])
     named = best.join(lists, "label", "left").join(ends, "label")
     title = hot.fallback_title(F.col("keywords"), F.col("first_title"), F.col("shortest"), F.col("longest"))
     short = hot.short_title(title, F.col("keywords"), 40)

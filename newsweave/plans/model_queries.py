@@ -261,22 +261,33 @@ def corrected_relations(spark, sf_dir):
     return correction.correct_relations(cut(whole_graph(spark, sf_dir)))
 
 
-@query("translation_losses", covers="M7")
-def translation_losses(spark, sf_dir):
-    """Mean loss of the first epochs of embedding training on the whole graph; it falls."""
+def training_losses(spark, sf_dir):
     triples = view(spark, sf_dir, "v_triples")
     entities = cut(numbering.dense_ids(triples.select(F.explode(F.array("h", "t")).alias("value")), "value"))
     relations = cut(numbering.dense_ids(triples.select(F.col("r").alias("value")), "value"))
     encoded = numbering.encode_triples(triples, entities, relations).toDF("h", "r", "t")
     _, _, losses = completion.train_translations(encoded, entities.select("id"), relations.select("id"), dim=16, epochs=4, rate=0.1)
-    return spark.createDataFrame(list(enumerate(losses)), "epoch INT, loss DOUBLE")
+    return losses
+
+
+@query("translation_losses", covers="M7")
+def translation_losses(spark, sf_dir):
+    """Mean loss of the first epochs of embedding training on the whole graph; it falls."""
+    return spark.createDataFrame(list(enumerate(training_losses(spark, sf_dir))), "epoch INT, loss DOUBLE")
+
+
+@query("falling_losses", covers="M7", oracle="SELECT CAST(range AS INT) AS epoch, TRUE AS falls FROM range(1, 4)")
+def falling_losses(spark, sf_dir):
+    """Whether the loss of each epoch is below the one before."""
+    losses = training_losses(spark, sf_dir)
+    falls = [(i, losses[i] < losses[i - 1]) for i in range(1, len(losses))]
+    return spark.createDataFrame(falls, "epoch INT, falls BOOLEAN")
 
 
 # -- learning --------------------------------------------------------------------------------
 
 
-@query("document_vectors", covers="M1")
-def document_vectors(spark, sf_dir):
+def document_norms(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
 
     from newsweave.functions.text import embedding_text
@@ -288,6 +299,43 @@ def document_vectors(spark, sf_dir):
     return made.select("doc_id", F.round(norm, 6).alias("norm2"), F.array_position("vec", F.array_max("vec")).alias("top"))
 
 
+@query("document_vectors", covers="M1")
+def document_vectors(spark, sf_dir):
+    return document_norms(spark, sf_dir)
+
+
+@query(
+    "unit_vectors",
+    covers="M1",
+    oracle=r"SELECT doc_id, CAST(regexp_matches(text, '[\p{L}\p{N}]') AS INT) AS norm2 FROM documents",
+)
+def unit_vectors(spark, sf_dir):
+    """Squared length of each document's vector: one, or zero for a text without words."""
+    return document_norms(spark, sf_dir).select("doc_id", F.round("norm2", 4).cast("int").alias("norm2"))
+
+
+def total_variance(rows, vec):
+    each = rows.select(F.posexplode(F.col(vec).cast("array<double>")).alias("at", "x"))
+    return each.groupBy("at").agg(F.var_pop("x").alias("v")).agg(F.sum("v").alias("total"), F.count("*").alias("dims"))
+
+
+@query(
+    "kept_variance",
+    covers="M2",
+    oracle="""
+    SELECT count(*) AS n_rows, least(50, min(len(embedding))) AS dims, TRUE AS keeps_its_share, TRUE AS adds_none FROM embeddings""",
+)
+def kept_variance(spark, sf_dir):
+    """The first k of n components hold at least k / n of the variance, and never more than all of it."""
+    reduced = cut(learning.reduce_dimensions(vectors(spark, sf_dir), "vec").select("vec", "reduced"))
+    before = total_variance(reduced, "vec").toDF("whole", "size")
+    after = total_variance(reduced, "reduced").toDF("kept", "dims")
+    parts = reduced.agg(F.count("*").alias("n_rows")).unionByName(before, allowMissingColumns=True).unionByName(after, allowMissingColumns=True)
+    facts = parts.agg(*[F.max(c).alias(c) for c in parts.columns])
+    enough = F.col("kept") >= F.col("whole") * F.col("dims") / F.col("size") * (1 - 1e-9)
+    return facts.select("n_rows", "dims", enough.alias("keeps_its_share"), (F.col("kept") <= F.col("whole") * (1 + 1e-9)).alias("adds_none"))
+
+
 @query("reduced_vectors", covers="M2")
 def reduced_vectors(spark, sf_dir):
     reduced = learning.reduce_dimensions(vectors(spark, sf_dir), "vec")
@@ -300,13 +348,46 @@ def fallback_clusters(spark, sf_dir):
     return made.select("id", "label")
 
 
-@query("classified_documents", covers="M6 A10")
-def classified_documents(spark, sf_dir):
-    """Quality as first level, toxicity as second, learned from the labelled documents."""
+@query(
+    "fallback_cluster_totals",
+    covers="M4",
+    oracle="SELECT count(*) AS n_rows, 0 AS unlabelled, TRUE AS several, TRUE AS within_k FROM embeddings",
+)
+def fallback_cluster_totals(spark, sf_dir):
+    """Every row has a label, and there are more than one and at most k of them."""
+    made = learning.fallback_clusters(vectors(spark, sf_dir), "vec", 64)
+    sizes = made.groupBy("label").agg(F.count("*").alias("n"))
+    clusters = F.count("label")
+    unlabelled = F.coalesce(F.sum(F.when(F.col("label").isNull(), F.col("n"))), F.lit(0))
+    return sizes.agg(F.sum("n").alias("n_rows"), unlabelled.alias("unlabelled"), (clusters > 1).alias("several"), (clusters <= 64).alias("within_k"))
+
+
+def classified(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels")
     level1 = F.when(F.col("quality") == 1, "good").otherwise("poor")
     level2 = F.when(F.col("toxic") == 1, "toxic").otherwise("clean")
     train = docs.join(labels, "doc_id").select("text", level1.alias("category"), level2.alias("subcategory"))
-    made = learning.classify_two_levels(train, docs, "text", "category", "subcategory", ["good", "poor"])
+    return learning.classify_two_levels(train, docs, "text", "category", "subcategory", ["good", "poor"])
+
+
+@query("classified_documents", covers="M6 A10")
+def classified_documents(spark, sf_dir):
+    """Quality as first level, toxicity as second, learned from the labelled documents."""
+    made = classified(spark, sf_dir)
     return made.groupBy("predicted_category", "predicted_subcategory").agg(F.count("*").alias("n_docs"))
+
+
+@query(
+    "classification_accuracy",
+    covers="M6",
+    oracle="""
+    SELECT (SELECT count(*) FROM documents) AS n_docs, count(*) AS labelled, TRUE AS beats_guessing FROM labels JOIN documents USING (doc_id)""",
+)
+def classification_accuracy(spark, sf_dir):
+    """All documents are classified, and the labelled ones better than by always naming the commoner class."""
+    truth = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("poor").alias("truth"))
+    rows = classified(spark, sf_dir).join(truth, "doc_id", "left")
+    right = F.count_if(F.col("predicted_category") == F.col("truth"))
+    commoner = F.greatest(F.count_if(F.col("truth") == "good"), F.count_if(F.col("truth") == "poor"))
+    return rows.agg(F.count("*").alias("n_docs"), F.count("truth").alias("labelled"), (right > commoner).alias("beats_guessing"))

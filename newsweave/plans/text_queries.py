@@ -397,8 +397,22 @@ def embedding_texts(spark, sf_dir):
     SELECT n, {_D1} AS day, CASE WHEN n % 8 = 2 THEN 'year' WHEN n % 8 = 1 THEN 'month' ELSE 'day' END AS precision FROM v_dates""",
 )
 def standard_dates(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_dates").withColumn("day", dates.partial_date(F.col("raw"), as_of()))
-    return rows.select("n", "day", dates.precision(F.col("day")).alias("precision"))
+    return view(spark, sf_dir, "v_dates").select("n", dates.read_date(F.col("raw"), as_of()).alias("d")).select("n", "d.*")
+
+
+@query(
+    "fallback_dates",
+    covers="D1",
+    views=("v_dates",),
+    oracle="SELECT n, strftime(d, '%Y') || '-01-01' AS day, 'year' AS precision FROM v_dates",
+)
+def fallback_dates(spark, sf_dir):
+    """Quarters, half-years and ranges of days only: the year is known, and the precision says so."""
+    rows = spark.sql(
+        """SELECT n, year(d) || CASE n % 3 WHEN 0 THEN '年第三季度' WHEN 1 THEN '年上半年' ELSE '年5月3日至5日' END AS raw FROM {d}""",
+        d=view(spark, sf_dir, "v_dates"),
+    )
+    return rows.select("n", dates.read_date(F.col("raw"), as_of()).alias("d")).select("n", "d.*")
 
 
 @query(
