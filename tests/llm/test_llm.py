@@ -219,6 +219,18 @@ def test_packing(spark, docs, odd):
     assert packing.packed(docs.limit(0), path).count() == 0
 
 
+def test_word_ids_equal_whole_texts(docs):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["É été ÜBER straße don't l'été a'S x''s ab'' it's. naïve÷ ×x café́ 12ab3 ab1. _y_ a_b ª º ÿ þ ß ẞ İ ǅ 日本 ok، ﬁ ab``~{|}@[]^_"]
+    texts += ["<|endoftext|> abc<|endoftext|> ABC<|EndOfText|>", f"a{packing.MARK}b {packing.MARK} c", "", None, "\t\n", *[r.text for r in docs.collect()]]
+    words = packing.WordIds(path)
+    for text, ids in zip(texts, words.encode(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u2").tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, packing.CLOSING]
+
+
 def test_packing_keeps_proportions(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     pieces = packing.packed(docs, path).toPandas()
