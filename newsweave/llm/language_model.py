@@ -1,8 +1,8 @@
 """Bigram scores from a log-frequency Bloom filter (Talbot and Osborne, 2007).
 
 Counts of training words and word pairs are quantised to 1 + floor(log2 count); an n-gram with level q is
-put into the filter as (n-gram, 1) ... (n-gram, q), and reading probes levels until one is missing. Pairs
-seen once are left to smoothing (MIN_PAIR_COUNT). Buckets of hashes each fill their own segment of the
+put into the filter as (n-gram, 1) ... (n-gram, q), and reading probes levels until one is missing. Words and
+pairs seen once are in it like all others. Buckets of hashes each fill their own segment of the
 filter, so counts never leave their bucket; together the segments are at most MOST_BITS, whatever the
 corpus, and go to the workers as one broadcast. Where the corpus needs more, segments shrink and probes
 err more often. Exact word counts, for the base score, come back to the groups from the same buckets.
@@ -27,11 +27,10 @@ from newsweave.llm import exchange as ex
 from newsweave.session import cut
 
 BUCKET_BYTES = 16 << 20
-SEGMENT_BITS = 1 << 22
+SEGMENT_BITS = 1 << 26
 MOST_BITS = 1 << 31
 PROBES = 3
 LEVELS = 40
-MIN_PAIR_COUNT = 2
 PRIOR = 50.0
 ADDED = 0.1
 FOLDS = 10
@@ -174,8 +173,7 @@ def trained(groups: DataFrame, buckets: int) -> DataFrame:
         pair, pair_total, _ = summed(two, two_counts)
         segment = np.zeros(bits // 8, dtype=np.uint8)
         fill(segment, one[total > 0], total[total > 0])
-        often = pair_total >= MIN_PAIR_COUNT
-        fill(segment, ~pair[often], pair_total[often])
+        fill(segment, ~pair, pair_total)
         press = zstandard.ZstdCompressor(level=1)
         replies = np.split(total[inverse], np.cumsum(sizes)[:-1])
         out = [(g, key[0], 1, press.compress(r.astype("<i8").tobytes()), 0, 0) for g, r in zip(rows["g"], replies, strict=True)]
