@@ -3,9 +3,9 @@
 Counts of training words and word pairs are quantised to 1 + floor(log2 count); an n-gram with level q is
 put into the filter as (n-gram, 1) ... (n-gram, q), and reading probes levels until one is missing. Words and
 pairs seen once are in it like all others. Buckets of hashes each fill their own segment of the
-filter, so counts never leave their bucket; together the segments are at most MOST_BITS, whatever the
-corpus, and go to the workers as one broadcast. Where the corpus needs more, segments shrink and probes
-err more often. Exact word counts, for the base score, come back to the groups from the same buckets.
+filter, LEVEL_BITS for every level put in, so the filter grows with the n-grams and probes err equally
+often on any corpus. A bucket probes its segment for the words and pairs it was asked for and sends their
+levels back, with the exact word counts for the base score; no segment leaves its bucket.
 
 Score of a token after the token before it (the end mark before the first):
     p = (c(v, w) + PRIOR * p1(w)) / (c(v) + PRIOR),   p1(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1))
@@ -27,8 +27,8 @@ from newsweave.llm import exchange as ex
 from newsweave.session import cut
 
 BUCKET_BYTES = 16 << 20
-SEGMENT_BITS = 1 << 26
-MOST_BITS = 1 << 31
+LEVEL_BITS = 32
+LEAST_BITS = 1 << 10
 PROBES = 3
 LEVELS = 40
 PRIOR = 50.0
@@ -86,7 +86,8 @@ def ask_counts(group: ex.Group, buckets: int) -> Iterator[tuple[int, bytes]]:
     press = zstandard.ZstdCompressor(level=1)
     words, inverse = np.unique(tokens.hash, return_inverse=True)
     counts = np.bincount(inverse[tokens.trains], minlength=len(words)).astype("<u4")
-    both, pair_counts = np.unique(tokens.pair[tokens.trains], return_counts=True)
+    both, which = np.unique(tokens.pair, return_inverse=True)
+    pair_counts = np.bincount(which[tokens.trains], minlength=len(both)).astype("<u4")
     pair_at = dict(sliced(both, buckets))
     word_at = dict(sliced(words, buckets))
     for b in sorted(set(word_at) | set(pair_at)):
@@ -96,7 +97,7 @@ def ask_counts(group: ex.Group, buckets: int) -> Iterator[tuple[int, bytes]]:
         steps = np.diff(rest[order], prepend=np.uint64(0))
         planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
         head = np.array([len(w), len(p)], dtype="<u4").tobytes()
-        yield b, press.compress(head + words[w].astype("<u8").tobytes() + counts[w].tobytes() + planes + pair_counts[p][order].astype("<u4").tobytes())
+        yield b, press.compress(head + words[w].astype("<u8").tobytes() + counts[w].tobytes() + planes + pair_counts[p][order].tobytes())
 
 
 def read_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,14 +132,30 @@ def fill(segment: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None:
             np.bitwise_or.at(segment, (spot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (spot & np.uint64(7)).astype(np.uint8))
 
 
+def segment_of(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A segment with LEVEL_BITS for every level of the keys."""
+    bits = max(LEAST_BITS, LEVEL_BITS * int(levels(counts).sum()))
+    segment = np.zeros(-(-bits // 8), dtype=np.uint8)
+    fill(segment, keys, counts)
+    return segment
+
+
+def middle(top: np.ndarray) -> np.ndarray:
+    """Middle of the counts of a level."""
+    return np.where(top > 0, 1.5 * np.exp2(top.astype(np.int64) - 1) - 0.5, 0.0)
+
+
 class Filter:
-    def __init__(self, segments: dict[int, bytes], bits: int):
+    def __init__(self, segments: dict[int, bytes], bits: int | None = None):
         self.segments = {b: np.frombuffer(s, dtype=np.uint8) for b, s in segments.items()}
         self.bits = bits
 
     def counts(self, keys: np.ndarray, named: np.ndarray, buckets: int) -> np.ndarray:
         """Middle of the quantised count of every key, 0 where level 1 is missing."""
-        out = np.zeros(len(named))
+        return middle(self.levels(keys, named, buckets))
+
+    def levels(self, keys: np.ndarray, named: np.ndarray, buckets: int) -> np.ndarray:
+        out = np.zeros(len(named), dtype=np.uint8)
         for b, at in sliced(keys, buckets):
             segment = self.segments.get(b)
             live, top = at, np.zeros(len(at), dtype=np.int64)
@@ -147,11 +164,11 @@ class Filter:
                 if segment is None or not live.size:
                     break
                 hit = np.ones(len(live), dtype=bool)
-                for spot in spots(named[live], level, self.bits):
+                for spot in spots(named[live], level, self.bits or len(segment) * 8):
                     hit &= (segment[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 live, left = live[hit], left[hit]
                 top[left] = level
-            out[at] = np.where(top > 0, 1.5 * np.exp2(top - 1) - 0.5, 0.0)
+            out[at] = top
         return out
 
 
@@ -159,25 +176,27 @@ MODEL = "g int, bucket int, kind int, blob binary, n long, v long"
 
 
 def trained(groups: DataFrame, buckets: int) -> DataFrame:
-    """Answers of exact word counts to the groups (kind 1), and a segment with N and V per bucket (kind 9)."""
-    bits = max(1 << 10, min(SEGMENT_BITS, MOST_BITS // buckets))
+    """Answers to the groups (kind 1: exact word counts, levels of words and of pairs), and N and V per bucket (kind 9)."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("g")
         words, counts, two, two_counts, sizes = [], [], [], [], []
         for blob in rows["blob"]:
             w, c, p, k = read_counts(blob)
-            for held, part in ((words, w), (counts, c), (two, p), (two_counts, k), (sizes, len(w))):
+            for held, part in ((words, w), (counts, c), (two, p), (two_counts, k), (sizes, (len(w), len(p)))):
                 held.append(part)
         one, total, inverse = summed(words, counts)
-        pair, pair_total, _ = summed(two, two_counts)
-        segment = np.zeros(bits // 8, dtype=np.uint8)
-        fill(segment, one[total > 0], total[total > 0])
-        fill(segment, ~pair, pair_total)
+        pair, pair_total, pair_inverse = summed(two, two_counts)
+        named = np.concatenate([one, ~pair])
+        every = np.concatenate([total, pair_total])
+        bloom = Filter({0: segment_of(named[every > 0], every[every > 0]).tobytes()})
+        top = bloom.levels(named, named, 1)
         press = zstandard.ZstdCompressor(level=1)
-        replies = np.split(total[inverse], np.cumsum(sizes)[:-1])
-        out = [(g, key[0], 1, press.compress(r.astype("<i8").tobytes()), 0, 0) for g, r in zip(rows["g"], replies, strict=True)]
-        out.append((-1, key[0], 9, segment.tobytes(), int(total.sum()), int((total > 0).sum())))
+        edges = np.cumsum(sizes, axis=0)[:-1].T
+        exact, single, double = np.split(total[inverse], edges[0]), np.split(top[: len(one)][inverse], edges[0]), np.split(top[len(one) :][pair_inverse], edges[1])
+        replies = [press.compress(e.astype("<i8").tobytes() + s.tobytes() + d.tobytes()) for e, s, d in zip(exact, single, double, strict=True)]
+        out = [(g, key[0], 1, r, 0, 0) for g, r in zip(rows["g"], replies, strict=True)]
+        out.append((-1, key[0], 9, b"", int(total.sum()), int((total > 0).sum())))
         frame = pd.DataFrame(out, columns=["g", "bucket", "kind", "blob", "n", "v"])
         return frame.astype({"g": "int32", "bucket": "int32", "kind": "int32"})
 
@@ -188,18 +207,12 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     """Per input row: its other columns, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null text is empty: one token, the end mark. Rows with equal ids fall into one fold. With no training
-    text all counts are 0. An empty table gives an empty table. To the driver come the filter's segments,
-    at most MOST_BITS, and two sums.
+    text all counts are 0. An empty table gives an empty table. To the driver come two sums.
     """
-    spark = docs.sparkSession
     groups, buckets = ex.deal(docs, text, doc_id, BUCKET_BYTES)
     model = cut(trained(groups, buckets))
     sums = model.where("kind = 9").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     total, distinct = int(sums[0]), int(sums[1])
-    segments = {r["bucket"]: bytes(r["blob"]) for r in model.where("kind = 9").select("bucket", "blob").toLocalIterator()}
-    bits = max(1 << 10, min(SEGMENT_BITS, MOST_BITS // buckets))
-    shared = spark.sparkContext.broadcast(segments)
-    del segments
     kinds = {f"c{i}": kind for i, (_, kind, _) in enumerate(ex.transport(docs, text))}
     extra = {"held_out": "boolean", "n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double"}
 
@@ -211,17 +224,20 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
         replies = ex.by_bucket(heard)
         expand = zstandard.ZstdDecompressor()
         words, inverse = np.unique(tokens.hash, return_inverse=True)
-        exact = np.zeros(len(words), dtype=np.int64)
-        for b, at in sliced(words, buckets):
-            exact[at] = np.frombuffer(expand.decompress(replies[1, b]), dtype="<i8")
+        both, which = np.unique(tokens.pair, return_inverse=True)
+        word_at, pair_at = dict(sliced(words, buckets)), dict(sliced(both, buckets))
+        exact, top, pair_top = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.uint8), np.zeros(len(both), dtype=np.uint8)
+        for b in set(word_at) | set(pair_at):
+            w, p = word_at.get(b, np.zeros(0, dtype=np.int64)), pair_at.get(b, np.zeros(0, dtype=np.int64))
+            raw = expand.decompress(replies[1, b])
+            exact[w] = np.frombuffer(raw, dtype="<i8", count=len(w))
+            top[w] = np.frombuffer(raw, dtype=np.uint8, offset=8 * len(w), count=len(w))
+            pair_top[p[np.argsort(both[p] & PAIR_BITS)]] = np.frombuffer(raw, dtype=np.uint8, offset=9 * len(w), count=len(p))
         count = exact[inverse]
         per_text = lambda x: np.add.reduceat(x, tokens.start)
         size = total + ADDED * (distinct + 1)
         base = per_text(np.log10((count + ADDED) / size))
-        bloom = Filter(shared.value, bits)
-        single = bloom.counts(words, words, buckets)
-        both, which = np.unique(tokens.pair, return_inverse=True)
-        pair = bloom.counts(both, ~(both & PAIR_BITS), buckets)[which]
+        single, pair = middle(top), middle(pair_top)[which]
         place = np.searchsorted(words, tokens.before)
         place = np.minimum(place, len(words) - 1)
         context = single[place]

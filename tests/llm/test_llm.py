@@ -315,6 +315,26 @@ def test_filter_reads_back_levels():
     assert (read >= 2.0 ** np.floor(np.log2(counts))).all() and np.mean(read <= 2 * counts) > 0.98
 
 
+@pytest.mark.parametrize("n", [3_000, 300_000])
+def test_segments_grow_with_their_grams(n):
+    keys = exchange.mixed(np.arange(1, 2 * n + 1, dtype=np.uint64))
+    counts = np.tile([1, 1, 1, 1, 2, 5, 40], n // 7 + 1)[:n]
+    segment = language_model.segment_of(keys[:n], counts)
+    top = language_model.Filter({0: segment.tobytes()}).levels(keys, keys, 1)
+    assert (top[:n] >= language_model.levels(counts)).all()
+    assert np.mean(top[:n] > language_model.levels(counts)) < 0.003 and np.mean(top[n:] > 0) < 0.003
+
+
+def test_scores_in_many_buckets(spark, docs, monkeypatch):
+    """More buckets (the more text, the more there are) make no difference to the scores."""
+    monkeypatch.setattr(exchange, "GROUP_BYTES", 60_000)
+    monkeypatch.setattr(language_model, "BUCKET_BYTES", 300)
+    rows = docs.select("doc_id", "text")
+    want = dict(brute_bigrams([(r.doc_id, r.text) for r in rows.collect()]))
+    got = [(r.score, want[str(r.doc_id)], r.n_tokens) for r in language_model.scored(rows).collect()]
+    assert len(got) == len(want) and sum(abs(a - b) for a, b, _ in got) < 0.01 * sum(n for _, _, n in got)
+
+
 def test_layouts(spark):
     records = [
         ('{"prompt": "p", "completion": "c"}', "pair", [("user", "p"), ("assistant", "c")]),
