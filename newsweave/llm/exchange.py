@@ -168,19 +168,6 @@ def dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32), (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def repeated_in(lists: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For sorted arrays without repeats and flags "more than once here": which entries occur twice over all."""
-    if not lists:
-        return []
-    every = np.concatenate([a for a, _ in lists])
-    flags = np.concatenate([f for _, f in lists])
-    _, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
-    many = counts > 1
-    many[inverse[flags]] = True
-    hit = many[inverse]
-    return np.split(hit, np.cumsum([len(a) for a, _ in lists])[:-1])
-
-
 class Words:
     """Hash, place and text of every word of a group, in order; words do not cross texts."""
 

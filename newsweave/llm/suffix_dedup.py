@@ -7,6 +7,10 @@ cover; the bucket of the seed sorts the suffixes that start at the seed, and the
 end there, by hash comparison. A string with ``o`` bytes before its seed repeats where entries lie in one
 run of at least WINDOW - o common bytes to the right and in one of at least ``o`` to the left, and all
 but the earliest of such entries are removed.
+
+A seed with more than HOT entries over all groups has no bucket of its own: its strings are dealt by their
+own 128-bit hashes. So where many texts share a passage after differing text, the differing strings spread
+over all buckets, an equal one is asked for once per group, and at most HOT entries of a seed meet.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
@@ -29,8 +34,11 @@ PIECE_BITS = 20
 #: Entries sorted at a time, and bytes of text per bucket of seeds.
 SLICE = 12_000
 BUCKET_BYTES = 24 << 20
+#: Entries of a seed up to which they meet in one bucket: what is sorted at a time.
+HOT = SLICE
 
 HEAD = np.dtype([("id", "<i8"), ("at", "<i8"), ("rest", "<u4"), ("n", "u1"), ("off", "u1")])
+STRING = np.dtype([("high", "<u8"), ("low", "<u8"), ("id", "<i8"), ("at", "<i8")])
 RUN = np.dtype([("entry", "<u4"), ("first", "u1"), ("last", "u1")])
 
 
@@ -69,24 +77,23 @@ class Entries:
         self.group = group
         self.spot, self.first, self.n = join(spots, np.int64), join(firsts, np.int64), join(counts, np.int64)
         self.bucket, self.rest = ex.dealt(join(hashes, np.uint64), buckets)
-        order = np.lexsort((self.first, self.rest, self.bucket))
-        for name in ("spot", "first", "n", "bucket", "rest"):
-            setattr(self, name, getattr(self, name)[order])
+        self.hot = np.zeros(len(self.rest), dtype=bool)
+        self.keep(np.lexsort((self.first, self.rest, self.bucket)))
 
     def slices(self) -> Iterator[tuple[int, slice]]:
         for b in np.unique(self.bucket):
             yield int(b), slice(*np.searchsorted(self.bucket, [b, b + 1]))
 
     def keep(self, chosen: np.ndarray) -> None:
-        for name in ("spot", "first", "n", "bucket", "rest"):
+        for name in ("spot", "first", "n", "bucket", "rest", "hot"):
             setattr(self, name, getattr(self, name)[chosen])
 
     def keep_repeated(self, heard: dict[tuple[int, int], bytes]) -> None:
         chosen = np.zeros(len(self.rest), dtype=bool)
         for b, at in self.slices():
             _, inverse = np.unique(self.rest[at], return_inverse=True)
-            bits = np.unpackbits(np.frombuffer(heard[1, b], dtype=np.uint8)).astype(bool)
-            chosen[at] = bits[inverse]
+            bits = np.unpackbits(np.frombuffer(heard[1, b], dtype=np.uint8).reshape(2, -1), axis=1).astype(bool)
+            chosen[at], self.hot[at] = bits[0][inverse], bits[1][inverse]
         self.keep(chosen)
 
     def collapse(self) -> np.ndarray:
@@ -109,26 +116,81 @@ class Entries:
         return gone
 
 
+class Strings:
+    """The WINDOW-byte strings of hot entries: the first of each in the group by bucket, and starts of the others."""
+
+    STEP = 1 << 16
+
+    def __init__(self, entries: Entries, buckets: int):
+        first, n = entries.first[entries.hot], entries.n[entries.hot]
+        start = np.sort(np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum())))
+        buffer, digest = memoryview(entries.group.bytes.tobytes()), xxhash.xxh3_128_digest
+        hashes = np.empty((len(start), 2), dtype="<u8")
+        for x in range(0, len(start), self.STEP):
+            raw = b"".join([digest(buffer[s : s + WINDOW]) for s in start[x : x + self.STEP].tolist()])
+            hashes[x : x + self.STEP] = np.frombuffer(raw, dtype="<u8").reshape(-1, 2)
+        bucket, _ = ex.dealt(hashes[:, 0], buckets)
+        order = np.lexsort((hashes[:, 1], hashes[:, 0], bucket))
+        hashes, start = hashes[order], start[order]
+        fresh = np.append(True, (hashes[1:] != hashes[:-1]).any(axis=1))[: len(start)]
+        self.start, self.hash, self.bucket, self.again = start[fresh], hashes[fresh], bucket[order][fresh], start[~fresh]
+
+    def slices(self) -> Iterator[tuple[int, slice]]:
+        for b in np.unique(self.bucket):
+            yield int(b), slice(*np.searchsorted(self.bucket, [b, b + 1]))
+
+
+def ask_strings(entries: Entries, buckets: int) -> Iterator[tuple[int, bytes]]:
+    group, strings = entries.group, Strings(entries, buckets)
+    text, press = np.searchsorted(group.ends, strings.start, side="right"), zstandard.ZstdCompressor(level=1)
+    for b, at in strings.slices():
+        asked = np.zeros(at.stop - at.start, dtype=STRING)
+        asked["high"], asked["low"] = strings.hash[at].T
+        asked["id"], asked["at"] = group.ids[text[at]], strings.start[at] - group.starts[text[at]]
+        yield b, press.compress(asked.view(np.uint8).reshape(-1, STRING.itemsize).T.tobytes())
+
+
+def answer_strings(blobs: list[bytes]) -> list[bytes]:
+    """Bits of the strings that stand earlier in another group."""
+    expand = zstandard.ZstdDecompressor()
+    planes = [np.frombuffer(expand.decompress(blob), dtype=np.uint8).reshape(STRING.itemsize, -1) for blob in blobs]
+    lists = [p.T.copy().view(STRING).ravel() for p in planes]
+    every = np.concatenate(lists)
+    order = np.lexsort((every["at"], every["id"], every["low"], every["high"]))
+    high, low = every["high"][order], every["low"][order]
+    later = np.zeros(len(every), dtype=bool)
+    later[order[1:]] = (high[1:] == high[:-1]) & (low[1:] == low[:-1])
+    return [np.packbits(part).tobytes() for part in np.split(later, np.cumsum([len(x) for x in lists])[:-1])]
+
+
 def ask_seeds(group: ex.Group, buckets: int) -> Iterator[tuple[int, bytes]]:
-    entries = Entries(group, buckets)
+    entries, press = Entries(group, buckets), zstandard.ZstdCompressor(level=1)
     for b, at in entries.slices():
         rests, counts = np.unique(entries.rest[at], return_counts=True)
-        yield b, np.uint32(len(rests)).tobytes() + rests.astype("<u4").tobytes() + np.packbits(counts > 1).tobytes()
+        yield b, np.uint32(len(rests)).tobytes() + rests.astype("<u4").tobytes() + press.compress(counts.astype("<u4").tobytes())
 
 
-def answer_seeds(blobs: list[bytes]) -> list[bytes]:
-    lists = []
+def answer_seeds(blobs: list[bytes], most: int | None = None) -> list[bytes]:
+    """Bits of the seeds that occur twice, then bits of the hot ones."""
+    expand = zstandard.ZstdDecompressor()
+    rests, counts = [], []
     for blob in blobs:
         n = int(np.frombuffer(blob, dtype="<u4", count=1)[0])
-        rests = np.frombuffer(blob, dtype="<u4", offset=4, count=n)
-        lists.append((rests, np.unpackbits(np.frombuffer(blob, dtype=np.uint8, offset=4 + 4 * n))[:n].astype(bool)))
-    return [np.packbits(hit).tobytes() for hit in ex.repeated_in(lists)]
+        rests.append(np.frombuffer(blob, dtype="<u4", offset=4, count=n))
+        counts.append(np.frombuffer(expand.decompress(blob[4 + 4 * n :]), dtype="<u4"))
+    _, inverse = np.unique(np.concatenate(rests), return_inverse=True)
+    total = np.bincount(inverse, weights=np.concatenate(counts))[inverse]
+    parts = np.split(total, np.cumsum([len(r) for r in rests])[:-1])
+    return [np.packbits(x > 1).tobytes() + np.packbits(x > (HOT if most is None else most)).tobytes() for x in parts]
 
 
 def ask_contexts(group: ex.Group, heard: dict[tuple[int, int], bytes], buckets: int) -> Iterator[tuple[int, bytes]]:
     entries = Entries(group, buckets)
     entries.keep_repeated(heard)
     entries.collapse()
+    for b, blob in ask_strings(entries, buckets):
+        yield buckets + b, b"S" + blob
+    entries.keep(~entries.hot)
     text = np.searchsorted(group.ends, entries.first, side="right")
     buffer, press = memoryview(group.bytes.tobytes()), zstandard.ZstdCompressor(level=3)
     for b, at in entries.slices():
@@ -136,7 +198,13 @@ def ask_contexts(group: ex.Group, heard: dict[tuple[int, int], bytes], buckets:
         head["id"], head["at"] = group.ids[text[at]], entries.first[at] - group.starts[text[at]]
         head["rest"], head["n"], head["off"] = entries.rest[at], entries.n[at], (entries.spot - entries.first)[at]
         body = b"".join(bytes(buffer[a : a + n - 1 + WINDOW]) for a, n in zip(entries.first[at].tolist(), entries.n[at].tolist(), strict=True))
-        yield b, press.compress(np.uint32(len(head)).tobytes() + head.tobytes() + body)
+        yield b, b"C" + press.compress(np.uint32(len(head)).tobytes() + head.tobytes() + body)
+
+
+def answer_repeats(blobs: list[bytes]) -> list[bytes]:
+    """A bucket is asked either for strings or for contexts of seeds."""
+    reply = answer_strings if blobs[0][:1] == b"S" else answer_contexts
+    return reply([blob[1:] for blob in blobs])
 
 
 def answer_contexts(blobs: list[bytes]) -> list[bytes]:
@@ -224,6 +292,15 @@ def removed(group: ex.Group, heard: dict[tuple[int, int], bytes], buckets: int)
     entries.keep_repeated(heard)
     gone = entries.collapse()
     spans = [np.stack([gone[:, 0], gone[:, 0] + gone[:, 1] - 1 + WINDOW], axis=1)]
+    strings = Strings(entries, buckets)
+    starts = [strings.again]
+    for b, at in strings.slices():
+        bits = np.unpackbits(np.frombuffer(heard[2, buckets + b], dtype=np.uint8)).astype(bool)
+        starts.append(strings.start[at][bits[: at.stop - at.start]])
+    hit = np.sort(np.concatenate(starts))
+    edge = np.flatnonzero(np.diff(hit, prepend=-2) != 1)
+    spans.append(np.stack([hit[edge], hit[np.append(edge[1:], len(hit))[: len(edge)] - 1] + WINDOW], axis=1))
+    entries.keep(~entries.hot)
     for b, at in entries.slices():
         runs = np.frombuffer(heard[2, b], dtype=RUN)
         first = entries.first[at][runs["entry"]]
@@ -243,8 +320,9 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
     character are left out of the text (not of the digest). An empty table gives an empty table.
     """
     groups, buckets = ex.deal(docs, text, doc_id, BUCKET_BYTES)
-    seeds = ex.answer(ex.ask(groups, lambda g: ask_seeds(g, buckets)), 1, answer_seeds)
-    contexts = ex.answer(ex.ask_again(groups, seeds, lambda g, heard: ask_contexts(g, heard, buckets)), 2, answer_contexts)
+    hot = HOT
+    seeds = ex.answer(ex.ask(groups, lambda g: ask_seeds(g, buckets)), 1, lambda blobs: answer_seeds(blobs, hot))
+    contexts = ex.answer(ex.ask_again(groups, seeds, lambda g, heard: ask_contexts(g, heard, buckets)), 2, answer_repeats)
     kinds = {f"c{i}": kind for i, (_, kind, _) in enumerate(ex.transport(docs, text))}
     extra = ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + (["kept_text string"] if keep_text else [])
 

@@ -139,6 +139,53 @@ def test_dedup_of_documents(spark, docs, monkeypatch):
         assert fn(rows.limit(0)).count() == 0
 
 
+def test_hot_seeds_are_split(spark, docs, monkeypatch):
+    """Many texts share a passage after differing text: as by brute force, and few entries of one seed meet."""
+    monkeypatch.setattr(exchange, "GROUP_BYTES", 20_000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(suffix_dedup, "HOT", 6, raising=False)
+    crowded = []
+    largest = suffix_dedup.repeats
+
+    def counted(lot, *rest):
+        crowded.extend(len(g) for g in lot if len(g) > 6)
+        return largest(lot, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "repeats", counted)
+    shared = " ".join(f"passage{i * i}" for i in range(30))
+    rows = [(i, hashlib.sha512(b"%d" % i).hexdigest()[: 90 + i % 7] + shared[: 250 - i % 3] + f" tail {i * i} " * 9) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text").where("doc_id % 4 = 0"))
+    pairs = [(r.doc_id, r.text) for r in frame.collect()]
+    groups, buckets = exchange.deal(frame, "text", "doc_id", suffix_dedup.BUCKET_BYTES)
+    by_group = defaultdict(list)
+    for r in groups.collect():
+        by_group[r.g].append(r)
+    frames = {g: exchange.Group(exchange.pd.DataFrame([r.asDict() for r in rs])) for g, rs in by_group.items()}
+
+    def answered(asked, kind, reply):
+        table = defaultdict(dict)
+        for g, questions in asked.items():
+            for b, blob in questions:
+                table[b][g] = blob
+        for b, blobs in table.items():
+            for g, r in zip(sorted(blobs), reply([blobs[g] for g in sorted(blobs)]), strict=True):
+                heard[g][kind, b] = r
+
+    heard = defaultdict(dict)
+    answered({g: list(suffix_dedup.ask_seeds(f, buckets)) for g, f in frames.items()}, 1, suffix_dedup.answer_seeds)
+    reply = getattr(suffix_dedup, "answer_repeats", suffix_dedup.answer_contexts)
+    answered({g: list(suffix_dedup.ask_contexts(f, heard[g], buckets)) for g, f in frames.items()}, 2, reply)
+    assert not crowded
+    got = Counter()
+    for g, f in frames.items():
+        gone = suffix_dedup.removed(f, heard[g], buckets)
+        got.update((int(i), int(gone[a:b].sum())) for i, a, b in zip(f.ids, f.starts, f.ends))
+    want = brute_bytes(pairs)
+    assert got == Counter({(i, n): c for (i, _, n, _, _), c in want.items()})
+    done = suffix_dedup.deduplicated(frame).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in done) == want
+
+
 def brute_simhash(text):
     w = (text or "").encode().translate(LOWER).split()
     if not w:
