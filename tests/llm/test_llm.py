@@ -322,6 +322,22 @@ def test_scores(spark, docs, odd):
     assert language_model.scored(docs.limit(0)).count() == 0
 
 
+def test_recall_on_a_table_beyond_the_least_rows(spark):
+    """Here the searched share is a fraction of the leaves; the small table above is searched whole."""
+    rng, n = np.random.default_rng(5), 5 * neighbours.LEAST_ROWS
+    points = rng.standard_normal((n, 64)).astype(np.float32)
+    rows = spark.createDataFrame(exchange.pd.DataFrame({"vec_id": np.arange(n), "embedding": list(points)}), "vec_id long, embedding array<float>")
+    got = neighbours.nearest(rows, "vec_id % 100 = 0").toPandas()
+    hits, asked = 0, range(0, n, 100)
+    for q, mine in got.groupby("query_id"):
+        scores = points.astype(float) @ points[q].astype(float)
+        scores[q] = -np.inf
+        hits += len(set(np.argsort(-scores)[:20].tolist()) & set(mine.vec_id))
+    recall = hits / (20 * len(asked))
+    print(f"recall {recall:.4f}")
+    assert 0.9 <= recall and set(got.query_id) == set(asked)
+
+
 def brute_bigrams(rows):
     """Scores with quantised counts from dictionaries instead of a filter."""
     texts = [(i, (t or "").encode().translate(LOWER).split() + [None]) for i, t in rows]
