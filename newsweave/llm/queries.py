@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import anchor_dedup, chat, language_model, licenses, mixing, neighbours, packing, quality, simhash, suffix_dedup
-from newsweave.llm.columns import table
+from newsweave.llm import anchor_dedup, chat, language_model, licenses, mixing, neighbours, packing, periodic, quality, simhash, suffix_dedup
+from newsweave.llm.columns import table, words
 from newsweave.llm.registry import query
 from newsweave.session import cut
 
@@ -211,3 +211,41 @@ def op9_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), folder, F.col("doc_id").cast("string"))
     rows = licenses.scan(docs.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), path).alias("path")))
     return rows.withColumnRenamed("key", "doc_id")
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Texts with the contract's periodic ends: where h = crc32(doc_id) ends in 0, word i >= a becomes word a + (i - a) % p.
+
+    A null id has no h, so its text stays as it is.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    n, g = F.size("_w").cast("long"), F.floor(F.col("_h") / 10)
+    a = F.col("_g") % F.col("_n")
+    p = 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8))
+    place = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p"))
+    moved = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda i: F.get("_w", place(i).cast("int")))
+    rows = docs.withColumn("_h", h).withColumn("_w", F.when(F.col("_h") % 10 == 0, words(F.col("text"))))
+    rows = rows.withColumns({"_n": n, "_g": g})
+    rows = rows.withColumn("_a", F.when(F.col("_n") > 0, a)).withColumn("_p", p)
+    return rows.select("doc_id", F.when(F.col("_n") > 0, F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic.collapsed(with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # The greatest length / period is compared as a product of whole numbers; the first run of equals stays.
+    more = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda b, x: F.when(more(x, b), x).otherwise(b))
+    line = lambda x: F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string"))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(line(x), F.lit("\n"))), "")
+    rows = rows.withColumns({"best": best, "lines": lines})
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
