@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import anchor_dedup, chat, language_model, licenses, mixing, neighbours, packing, periodic, quality, simhash, suffix_dedup
+from newsweave.llm import anchor_dedup, chat, language_model, licenses, mixing, neighbours, packing, periodic, quality, resampling, simhash, suffix_dedup
 from newsweave.llm.columns import table, words
 from newsweave.llm.registry import query
 from newsweave.session import cut
@@ -213,6 +213,43 @@ def op9_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("key", "doc_id")
 
 
+OP11_SQL = rf"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{resampling.UPPER}', '{resampling.LOWER}'), '{resampling.SEPARATOR}'), lambda w: w <> '') AS w FROM documents),
+asked AS (
+  SELECT unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{resampling.UPPER}', '{resampling.LOWER}'), '{resampling.SEPARATOR}'), lambda w: w <> '')) AS x FROM benchmark),
+said AS (SELECT rid, unnest(w) AS x FROM docs),
+seen AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM said UNION SELECT x FROM asked)),
+bucket AS (
+  SELECT x, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % {resampling.BUCKETS} AS b FROM seen, crc),
+s AS (SELECT b, count(*) AS s FROM said JOIN bucket USING (x) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM asked JOIN bucket USING (x) GROUP BY b),
+counts AS (SELECT b, coalesce(s, 0)::DOUBLE AS s, coalesce(t, 0)::DOUBLE AS t FROM s FULL JOIN t USING (b)),
+gain AS (
+  SELECT b, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + {resampling.BUCKETS}) / ((s + 1) * ((SELECT sum(t) FROM counts) + {resampling.BUCKETS}))))::BIGINT AS g FROM counts),
+weights AS (SELECT rid, sum(g)::BIGINT AS weight FROM said JOIN bucket USING (x) JOIN gain USING (b) GROUP BY rid),
+scored AS (
+  SELECT d.rid, doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('{resampling.SEED}:' || doc_id::VARCHAR)[1:8])::BIGINT + 0.5) / 4294967296.0)))::BIGINT AS score
+  FROM docs d LEFT JOIN weights USING (rid)),
+ranked AS (
+  SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= {resampling.MIN_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= {resampling.PERCENT} * n // 100 THEN r END AS rank
+FROM scored LEFT JOIN ranked USING (rid)
+"""
+
+
+@query("op11_importance_resampling", OP11_SQL)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.sampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """Texts with the contract's periodic ends: where h = crc32(doc_id) ends in 0, word i >= a becomes word a + (i - a) % p.
 
