@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import anchor_dedup, chat, language_model, licenses, mixing, neighbours, packing, periodic, quality, resampling, simhash, suffix_dedup
+from newsweave.llm import anchor_dedup, chat, language_model, licenses, main_text, mixing, neighbours, packing, periodic, quality, resampling, simhash, suffix_dedup
 from newsweave.llm.columns import table, words
 from newsweave.llm.registry import query
 from newsweave.session import cut
@@ -250,6 +250,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+@query("op12_line_blocks")
+def op12_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = main_text.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """Texts with the contract's periodic ends: where h = crc32(doc_id) ends in 0, word i >= a becomes word a + (i - a) % p.
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from newsweave.llm.columns import table_of
 from newsweave.operators.ranking import number_rows
+from newsweave.session import cut
 
 #: Anything but digits, lower-case letters and characters beyond ASCII separates words.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -65,7 +66,7 @@ def bucket_counts(texts: DataFrame, text: str, longest: int, buckets: int, name:
 def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """floor(1000 ln((t + 1)(S + B) / ((s + 1)(T + B)))) for each of the B buckets; at most B rows reach the driver."""
     every = corpus.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    both = every.join(corpus, "bucket", "left").join(target, "bucket", "left").na.fill(0, ["s", "t"])
+    both = cut(every.join(corpus, "bucket", "left").join(target, "bucket", "left").na.fill(0, ["s", "t"]))
     sums = both.agg(F.sum("s").cast("double").alias("S"), F.sum("t").cast("double").alias("T")).first()
     s, t = F.col("s").cast("double"), F.col("t").cast("double")
     gain = F.floor(1000 * F.ln((t + 1) * (sums["S"] + buckets) / ((s + 1) * (sums["T"] + buckets))))
