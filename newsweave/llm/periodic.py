@@ -325,8 +325,9 @@ def collapsed(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     added = [n for n, _ in ADDED]
     own = [f for f in docs.schema if f.name not in added]
-    carried = [*[F.col(f"`{f.name}`") for f in own], F.col(f"`{text}`").alias("_text")]
-    schema = T.StructType([*own, *T.StructType.fromDDL(", ".join(f"{n} {k}" for n, k in ADDED)).fields])
+    carried = [*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(own)], F.col(f"`{text}`").alias("t")]
+    sent = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(own)]
+    schema = T.StructType([*sent, *T.StructType.fromDDL(", ".join(f"{n} {k}" for n, k in ADDED)).fields])
     runs_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,4 +336,5 @@ def collapsed(docs: DataFrame, text: str = "text") -> DataFrame:
             extra = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], runs_type), pa.array([r[2] for r in rows], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=[*batch.schema.names[:-1], *added])
 
-    return docs.select(*carried).mapInArrow(run, schema)
+    done = docs.select(*carried).mapInArrow(run, schema)
+    return done.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(own)], *added)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsweave.functions.text import let
 from newsweave.llm.columns import table_of
 from newsweave.operators.ranking import number_rows
 from newsweave.session import cut
@@ -51,11 +52,14 @@ def plain_words(text: Column) -> Column:
 def features(words: Column, longest: int = RUN_WORDS, buckets: int = BUCKETS) -> Column:
     """Buckets of all runs of 1 to ``longest`` words, repeats included: CRC-32 of the words joined by a space."""
     bucket = lambda f: (F.crc32(f.cast("binary")) % buckets).cast("int")
-    parts = [F.transform(words, bucket)]
-    for k in range(2, longest + 1):
-        at = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(at, lambda i, k=k: bucket(F.array_join(F.slice(words, i, k), " "))))
-    return F.concat(*parts)
+
+    def runs(w: Column, k: int) -> Column:
+        at = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: bucket(F.array_join(F.slice(w, i, k), " ")))
+
+    if longest == 1:
+        return F.transform(words, bucket)
+    return let(words, lambda w: F.concat(F.transform(w, bucket), *[runs(w, k) for k in range(2, longest + 1)]))
 
 
 def bucket_counts(texts: DataFrame, text: str, longest: int, buckets: int, name: str) -> DataFrame:
