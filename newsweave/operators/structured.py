@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsweave.fixed_values import EVENT_TAG_FIELDS
-from newsweave.functions.dates import partial_date
+from newsweave.functions.dates import fill_moment_year, fill_period_year, partial_date
+from newsweave.functions.names import standard_name, standard_place
 from newsweave.functions.text import blank_to_null, let
 from newsweave.schemas import ROLE_FIELDS
 from newsweave.session import cut
@@ -66,6 +67,18 @@ def prune_event(event: Column) -> Column:
     )
 
 
+def standard_event(event: Column, as_of: Column, name: Callable[[Column], Column] = standard_name) -> Column:
+    """The event with standard names and places, and with the year of ``as_of`` where a time has none."""
+    when, where, who = event["time_position"], event["space_position"], event["relationship_characteristics"]
+    roles = who
+    for f in ROLE_FIELDS:
+        role = F.when(who[f].isNotNull(), who[f].withField("name", name(who[f]["name"])))
+        roles = roles.withField(f, role)
+    time = when.withField("moment", fill_moment_year(when["moment"], as_of)).withField("period", fill_period_year(when["period"], as_of))
+    place = where.withField("place_name", standard_place(where["place_name"], where["region"]))
+    return event.withField("time_position", time).withField("space_position", place).withField("relationship_characteristics", roles)
+
+
 def drop_bare_events(docs: DataFrame) -> DataFrame:
     """Drop events without any attribute."""
     return docs.withColumn(
