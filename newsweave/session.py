@@ -52,6 +52,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def united(first: DataFrame, *more: DataFrame) -> DataFrame:
+    """The rows of all frames, written out.
+
+    Spark takes a union of frames that are hash-partitioned alike as partitioned itself and leaves out the
+    shuffle a following aggregate needs, while adaptive execution may merge partitions of each frame in its
+    own way; equal keys then meet in different tasks.
+    """
+    whole = first
+    for rows in more:
+        whole = whole.unionByName(rows)
+    return cut(whole)
+
+
 def spread_work(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by the keys into a fixed number of partitions.
 
