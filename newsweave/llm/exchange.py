@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,9 +170,14 @@ def dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Hash, place and text of every word of a group, in order; words do not cross texts."""
+    """Hash, place and text of every word of a group, in order; words do not cross texts.
+
+    Polynomial hashes modulo 2^64 are equal for certain words of some hundred bytes, whatever the base, so
+    words beyond LONG bytes are hashed by XXH3 instead.
+    """
 
     SLICE = 1 << 20
+    LONG = 128
 
     def __init__(self, group: Group):
         gap = np.zeros(256, dtype=bool)
@@ -202,6 +208,8 @@ class Words:
                 stops.append(last + 1 + a)
             at = to
         self.start, self.stop, self.hash = np.concatenate(starts), np.concatenate(stops), np.concatenate(hashes)
+        for i in np.flatnonzero(self.stop - self.start > self.LONG).tolist():
+            self.hash[i] = xxhash.xxh3_64_intdigest(group.bytes[self.start[i] : self.stop[i]])
         #: The first word of each text, and one past its last.
         self.first = np.searchsorted(self.start, group.starts)
         self.last = np.searchsorted(self.start, group.ends)
