@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsweave.fixed_values import ACTION_WORDS, SENSATIONAL_WORDS
 from newsweave.functions.text import embedding_text
-from newsweave.operators import hot
+from newsweave.operators import hot, learning, text_events
 from newsweave.plans.registry import query
 from newsweave.plans.stat_queries import _TIMES
 from newsweave.plans.views import table, view
@@ -113,7 +113,12 @@ def cluster_char_keywords(spark, sf_dir):
 def top_hot_events(spark, sf_dir):
     """The ranked hot events with keywords and a title; texts are read for the ranked clusters only."""
     members, events = rollup(spark, sf_dir)
-    best = cut(hot.top_events(events))
+    return titled(members, hot.top_events(events))
+
+
+def titled(members, ranked):
+    """Ranked events with the keywords and the title that their members give them."""
+    best = cut(ranked)
     chosen = members.join(best.select("label"), "label", "left_semi")
     lists = hot.keyword_lists(hot.cluster_keywords(member_texts(chosen)))
     ends = hot.title_ends(chosen, "label", [F.col("doc_id")])
@@ -126,6 +131,45 @@ def top_hot_events(spark, sf_dir):
     )
 
 
+def news_texts(spark, sf_dir):
+    return view(spark, sf_dir, "v_news").select("doc_id", "title", "content", "source", "pub_date")
+
+
+@query("hot_events_from_texts", covers="M1 M2 M3 A6 W4", views=("v_news",))
+def hot_events_from_texts(spark, sf_dir):
+    """Ranked events of clusters found in the texts themselves."""
+    members, events = text_events.events_of_texts(news_texts(spark, sf_dir), as_of())
+    return titled(members, events)
+
+
+@query(
+    "facts_of_text_events",
+    covers="M1 M2 M3 A6 W4",
+    views=("v_news",),
+    oracle=r"""
+    SELECT CAST(count_if(regexp_matches(content, '[\p{L}\p{N}]')) AS BIGINT) AS vectors, TRUE AS found_some, TRUE AS sizes_hold, TRUE AS copies_together,
+           TRUE AS one_language FROM v_news""",
+)
+def facts_of_text_events(spark, sf_dir):
+    """Clusters are large enough, hold copies of a text together and hardly ever mix languages."""
+    news = news_texts(spark, sf_dir)
+    labelled = cut(text_events.labelled_texts(news).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id"))
+    members = hot.cluster_members(labelled)
+    sizes = members.groupBy("label").agg(F.count("*").alias("n"))
+    speech = members.groupBy("label", "lang").agg(F.count("*").alias("n")).groupBy("label").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    copies = labelled.where(F.col("content").rlike(r"[\p{L}\p{N}]")).groupBy("content").agg(F.countDistinct("label").alias("labels"), F.count("*").alias("n"))
+    vectors = learning.projected_vectors(news, "doc_id", "content").agg(F.count("*").alias("vectors"))
+    parts = [
+        sizes.agg((F.count("*") > 0).alias("found_some"), (F.min("n") >= hot.MIN_CLUSTER_SIZE).alias("sizes_hold")),
+        copies.where("n > 1").agg((F.coalesce(F.max("labels"), F.lit(1)) == 1).alias("copies_together")),
+        speech.agg((F.sum("most") >= 0.9 * F.sum("all")).alias("one_language")),
+    ]
+    facts = vectors
+    for part in parts:
+        facts = facts.unionByName(part, allowMissingColumns=True)
+    return facts.agg(*[F.max(c).alias(c) for c in ("vectors", "found_some", "sizes_hold", "copies_together", "one_language")])
+
+
 @query(
     "news_of_events",
     covers="J7",
