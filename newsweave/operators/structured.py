@@ -88,7 +88,10 @@ def drop_bare_events(docs: DataFrame) -> DataFrame:
 
 
 def event_nodes(docs: DataFrame, attributes: Sequence[str] | None = None) -> DataFrame:
-    """One flat row per event: prefixed members, role names, emotion words joined."""
+    """One flat row per event: prefixed members, role names, emotion words joined.
+
+    Attributes that no column is made for stay together in the map ``attribute_other`` (null without any).
+    """
     if attributes is None:
         listed = dict.fromkeys(f for fields in EVENT_TAG_FIELDS.values() for f in fields)
         attributes = [f.removeprefix("attribute_") for f in listed if f.startswith("attribute_")]
@@ -106,11 +109,18 @@ def event_nodes(docs: DataFrame, attributes: Sequence[str] | None = None) -> Dat
         event["space_position"]["region"].alias("space_position_region"),
         *[F.nullif(who[f]["name"], F.lit("")).alias(f"relationship_characteristics_{f}") for f in ROLE_FIELDS],
         *[F.try_element_at(event["attribute_characteristics"], F.lit(a)).alias(f"attribute_{a}") for a in attributes],
+        _others(event["attribute_characteristics"], list(attributes)).alias("attribute_other"),
         F.array_join(F.map_keys(event["emotion_characteristics"]), "；").alias("emotion_characteristics"),
         F.lit("0").alias("status"),
     )
 
 
+def _others(attributes: Column, listed: list[str]) -> Column:
+    """Filled entries whose key is not listed."""
+    rest = F.map_filter(attributes, lambda k, v: ~k.isin(listed) & _filled(v))
+    return F.when(F.size(rest) > 0, rest)
+
+
 def evolution_event(event: Column, as_of: Column) -> Column:
     """The short form of an event for the evolution table."""
     when = event["time_position"]

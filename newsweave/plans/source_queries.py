@@ -308,6 +308,25 @@ def image_inventory(spark, sf_dir):
     return files.image_inventory(images).select("doc_id", "sniffed", "fix_type", "fix_name", "new_name")
 
 
+@query(
+    "image_files",
+    covers="S16",
+    oracle="""
+    SELECT page_id, octet_length(encode('GIF89a' || replace(html, chr(10), ' ') || chr(10))) AS size, 'image/gif' AS sniffed,
+           TRUE AS fix_name FROM pages WHERE page_id % 3 <> 0 AND octet_length(encode('GIF89a' || replace(html, chr(10), ' ') || chr(10))) >= 2000""",
+)
+def image_files(spark, sf_dir):
+    """Files written from the pages, one each, and read again: by name and size, then by their first bytes."""
+    path = scratch_path(spark, "images")
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", F.when(F.col("page_id") % 3 == 0, "note").otherwise("image").alias("kind"), F.concat(F.lit("GIF89a"), F.regexp_replace("html", "\n", " ")).alias("value")
+    )
+    pages.repartition("page_id").write.partitionBy("kind", "page_id").text(path)
+    found = files.read_images(spark, f"{path}/kind=image", "*.txt", after="2000-01-01T00:00:00", min_bytes=2000)
+    page = F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long")
+    return files.image_inventory(found.withColumn("page_id", page)).select("page_id", "size", "sniffed", "fix_name")
+
+
 @query(
     "news_backlog",
     covers="A20",

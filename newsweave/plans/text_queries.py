@@ -261,6 +261,24 @@ def event_nodes_flat(spark, sf_dir):
     )
 
 
+@query(
+    "unlisted_attributes",
+    covers="P14",
+    views=("v_struct",),
+    oracle=f"""
+    SELECT eid AS event_id, attr_event_type AS attribute_event_type, CASE WHEN event_type <> '' THEN 'unit_kind=' || event_type END
+             AS others FROM ({FLAT.format('v_struct')})""",
+)
+def unlisted_attributes(spark, sf_dir):
+    """An attribute that no tag lists is kept, an empty one is not."""
+    more = F.map_from_entries(F.array(*[F.struct(F.lit(k), v) for k, v in (("unit_kind", F.element_at("e.trigger_word", 1)), ("unit_empty", F.lit("")))]))
+    docs = nested_docs(spark, sf_dir).select("doc", F.explode("events").alias("e"))
+    docs = docs.withColumn("e", F.col("e").withField("attribute_characteristics", F.map_concat("e.attribute_characteristics", more)))
+    flat = structured.event_nodes(docs.select("doc", F.array("e").alias("events")))
+    pairs = F.transform(F.map_entries("attribute_other"), lambda x: F.concat_ws("=", x["key"], x["value"]))
+    return flat.select("event_id", "attribute_event_type", F.array_join(pairs, ",").alias("others"))
+
+
 @query(
     "target_nodes_flat",
     covers="P15",

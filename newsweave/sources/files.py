@@ -77,11 +77,23 @@ def image_inventory(images: DataFrame, name_pattern: str | None = None, limit: i
     return fixed.orderBy("uploaded", "filename").limit(limit) if limit > 0 else fixed
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Image files below a folder in the shape ``image_inventory`` expects."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def read_images(
+    spark: SparkSession, path: str, pattern: str | None = None, after: str | None = None, before: str | None = None, min_bytes: int = 0
+) -> DataFrame:
+    """Image files below a folder in the shape ``image_inventory`` expects, with ``size``.
+
+    Names that do not match the glob ``pattern`` and files outside the times (modified after, before) are
+    never opened; the size is a filter of the file listing, too. Content is read only where it is used.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    for name, value in (("pathGlobFilter", pattern), ("modifiedAfter", after), ("modifiedBefore", before)):
+        if value is not None:
+            reader = reader.option(name, value)
+    files = reader.load(path).where(F.col("length") >= min_bytes)
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("filename"),
+        "path",
+        F.col("length").alias("size"),
         "content",
         F.lit(None).cast("string").alias("content_type"),
         F.col("modificationTime").alias("uploaded"),
