@@ -19,6 +19,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,16 +35,19 @@ PACKET = 256
 CLOSING = 1
 CACHED_WORDS = 500_000
 WORDS_AT_ONCE = 16
+#: Characters of texts that are encoded together, and words whose ids are gathered at a time.
+CHUNK_CHARS = 2 << 20
+WORDS_GATHERED = 1 << 18
 QUEUE_BUCKETS = 4096
 BUCKET_TOKENS = 1 << 19
 FAN = 4096
 PIECE = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "sequence_id", "offset")])
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 MARK = "\x7f"
-#: Small Latin letters, which normalizing leaves alone, and a word of them with ASCII marks behind.
-LETTERS = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
-LETTER_RUN = re.compile(LETTERS)
-PLAIN_WORD = re.compile(b"(" + LETTERS + rb")([!-/:-@\[-`{-~]*)")
+#: Small Latin letters, which normalizing leaves alone.
+LETTERS = rb"(?:[a-z]++|\xc3[\x9f-\xb6\xb8-\xbf])++"
+#: Words, one a line: letters and marks, or the whole word.
+WORD_LINES = re.compile(b"(?m)^(?:(" + LETTERS + rb")([!-/:-@\[-`{-~]*)|(.*))$")
 LATIN = [chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha()]
 
 
@@ -59,7 +64,7 @@ class WordIds:
         self.by_letters = self.tokenizer.model.tokenize
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.spelled = str.maketrans({c: split(c)[0][0] for c in LATIN})
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}
 
     def one(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -67,28 +72,35 @@ class WordIds:
     def learn(self, words: set[bytes]) -> None:
         new = words.difference(self.known)
         if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {w: self.known[w] for w in words if w in self.known}
+            self.known = {w: self.known[w] for w in words if w in self.known} | {b"": b""}
+        special = {w for w in new if b"<|" in w} if b"<|" in b"".join(new) else set()  # told by case
+        self.learn_parts(special)
+        plain = list(new.difference(special))
+        if not plain:
+            return
         # The tokenizer lowers case and splits marks from letters, so parts stand for many words.
-        parts = {w: self.parts(w) for w in new}
-        self.learn_parts({p for ps in parts.values() for p in ps}.difference(self.known))
-        for word, ps in parts.items():
-            self.known[word] = b"".join([self.known[p] for p in ps])
-
-    @staticmethod
-    def parts(word: bytes) -> tuple[bytes, ...]:
-        if b"<|" in word:  # special tokens are told by case
-            return (word,)
-        low = word.lower()
-        plain = PLAIN_WORD.fullmatch(low)
-        return (low,) if plain is None else plain.groups() if plain[2] else (low,)
+        known = self.known
+        simple = [w for w in plain if w.isalpha()]
+        mixed = [w for w in plain if not w.isalpha()]
+        lower = [w.lower() for w in simple]
+        split = WORD_LINES.findall(b"\n".join(mixed).lower()) if mixed else []
+        self.learn_letters({*lower, *[a for a, _, _ in split]}.difference(known))
+        self.learn_parts({p for _, b, c in split for p in (b, c)}.difference(known))
+        known.update(zip(simple, map(known.__getitem__, lower)))
+        known.update(zip(mixed, [known[a] + known[b] + known[c] for a, b, c in split], strict=True))
+
+    def learn_letters(self, runs: set[bytes]) -> None:
+        """Runs of letters are one piece to the tokenizer: straight to its model."""
+        tokenize, known = self.by_letters, self.known
+        for run in runs:
+            text = run.decode()
+            known[run] = array("H", [t.id for t in tokenize(text if run.isascii() else text.translate(self.spelled))]).tobytes()
 
     def learn_parts(self, parts: set[bytes]) -> None:
         together, texts = [], []
         for part in parts:
             text = part.decode("utf-8", "replace")
-            if LETTER_RUN.fullmatch(part):  # one piece to the tokenizer: straight to its model
-                self.known[part] = array("H", [t.id for t in self.by_letters(text if text.isascii() else text.translate(self.spelled))]).tobytes()
-            elif MARK in text:
+            if MARK in text:
                 self.known[part] = array("H", self.one(text)).tobytes()
             else:
                 together.append(part)
@@ -104,11 +116,40 @@ class WordIds:
                 begin = end + 1
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Per text the ids of its words, then CLOSING."""
-        closing = np.array([CLOSING], dtype="<u2").tobytes()
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.known.__getitem__, words)) + closing for words in split]
+        """Per text the ids of its words, then CLOSING.
+
+        Texts are split and their words numbered by Arrow; only different words are looked up.
+        """
+        parts = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        coded = parts.values.dictionary_encode()
+        _, edges, raw = coded.dictionary.buffers()
+        edge, raw = np.frombuffer(edges, dtype=np.int64)[: len(coded.dictionary) + 1].tolist(), raw.to_pybytes() if raw else b""
+        words = [raw[a:b] for a, b in zip(edge, edge[1:])]
+        self.learn(set(words))
+        data = [self.known[w] for w in words]
+        size = np.fromiter(map(len, data), dtype=np.int64, count=len(data)) // 2
+        flat, begin, which = np.frombuffer(b"".join(data), dtype="<u2"), np.cumsum(size) - size, coded.indices.to_numpy()
+        ids = []
+        for at in range(0, len(which), WORDS_GATHERED):
+            some = which[at : at + WORDS_GATHERED]
+            n = size[some]
+            stop = np.cumsum(n)
+            ids.append(flat[np.arange(stop[-1]) + np.repeat(begin[some] - stop + n, n)].tobytes())
+        whole, closing = b"".join(ids), np.array([CLOSING], dtype="<u2").tobytes()
+        ends = 2 * np.concatenate([[0], np.cumsum(size[which])])[parts.offsets.to_numpy()]
+        return [whole[a:b] + closing for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, about CHUNK_CHARS characters at a time."""
+    begin = held = 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if held >= CHUNK_CHARS:
+            yield texts[begin : i + 1]
+            begin, held = i + 1, 0
+    if begin < len(texts):
+        yield texts[begin:]
 
 
 @lru_cache(maxsize=1)
@@ -124,8 +165,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, text: str, source: str, doc_
         words, press = word_ids(tokenizer_path), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             sizes, data = [], []
-            for at in range(0, len(batch), 256):
-                texts = batch.iloc[at : at + 256].tolist()
+            for texts in chunks(batch.tolist()):
                 for ids in words.encode(texts):
                     sizes.append(len(ids) // 2)
                     data.append(press.compress(ids))
