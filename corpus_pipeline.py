@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import mixing, packing, quality, simhash, suffix_dedup
+from newsweave.llm import mixing, near_copies, packing, quality, suffix_dedup
 from newsweave.llm.columns import table
 from newsweave.session import scratch_path
 
@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return simhash.first_of_each(docs)
+    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return near_copies.first_of_each(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
