@@ -7,18 +7,21 @@ sample's own order. Two texts of similarity s have a sample in common with a cha
 makes 0.99 over all tables at 0.8 and more above. Every pair that is met is checked on all its shingles.
 
 Groups grow from representatives. A round compares each bucket with one anchor, so its work is linear in the
-bucket; linked texts go on as one representative. When a round finds no link, the representatives left in a bucket
-are compared with each other, in parts of bounded size. So texts of different groups, as far as they meet in a
+bucket; linked texts go on as one representative. When a round takes less than FEWEST of the representatives, those left in
+a bucket are all compared with each other, in parts of bounded size. So texts of different groups, as far as they meet in a
 table, are below the similarity, and each text of a group is linked to it by pairs that reach it.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from newsweave.llm.simhash import BLOCK, LOWER, SEED, table_masks
 from newsweave.operators.components import connected_components
@@ -32,7 +35,9 @@ SAMPLE = 6
 FEW = 16
 SMALL_SAMPLES = 8
 SMALL_SAMPLE = 2
+PRINTS = StructType().add("digest", StringType()).add("size", LongType()).add("keys", ArrayType(LongType()))
 PART = 1_000
+FEWEST = 0.01
 #: Odd multipliers; each gives the hashes another order.
 ORDERS = [xxhash.xxh64_intdigest(str(i).encode(), SEED) | 1 for i in range(SAMPLES + SMALL_SAMPLES)]
 MASKS = np.array(table_masks(), dtype=np.int64).view(np.uint64)
@@ -73,7 +78,7 @@ def table_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array(keys, dtype=np.uint64).view(np.int64)
 
 
-@F.pandas_udf("digest string, size long, keys array<long>")
+@F.pandas_udf(PRINTS)
 def prints(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for text in texts:
@@ -83,7 +88,7 @@ def prints(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["digest", "size", "keys"])
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(ArrayType(LongType()))
 def shingle_sets(texts: pd.Series) -> pd.Series:
     return pd.Series([shingle_hashes(words_of(t)).view(np.int64) for t in texts], dtype=object)
 
@@ -140,10 +145,10 @@ def rest_pairs(rows: DataFrame, similarity: float, part: int = PART) -> DataFram
 
 
 def texts_and_buckets(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
-    """Different texts (node, digest, first row) and their keys in buckets of two and more (table, key, node, size)."""
+    """Different texts (node: digest of the words, first row) and their keys in buckets of two and more (table, key, node, size)."""
     rows = marked(docs, text, doc_id).select("id", "h1", "h2", prints(F.col("text")).alias("p")).select("id", "h1", "h2", "p.*")
-    texts = rows.groupBy("digest").agg(first_row().alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
+    node = F.unhex("digest").alias("node")
+    texts = cut(rows.groupBy(node).agg(first_row().alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     keys = texts.where(F.col("size") > 0).select("node", "size", F.posexplode("keys").alias("table", "key"))
     shared = keys.groupBy("table", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("table", "key")
     return texts, cut(keys.join(shared, ["table", "key"]))
@@ -156,22 +161,23 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similari
     sets = marked(docs, text, doc_id).select("text", "h1", "h2").join(met, ["h1", "h2"])
     sets = cut(sets.select("node", shingle_sets(F.col("text")).alias("shingles")).dropDuplicates(["node"]))
     member = texts.select("node", "first", F.col("node").alias("group"))
-    turn, last = 0, False
-    while True:
-        pairs = rest_pairs(rows, similarity) if last else anchor_pairs(rows, turn, similarity)
-        found = cut(links(pairs, sets, similarity))
-        if not found.isEmpty():
-            joined = cut(connected_components(found))
-            roots = joined.select(F.col("id").alias("group"), F.col("component").alias("root"))
-            member = cut(member.join(roots, "group", "left").select("node", "first", F.coalesce("root", "group").alias("group")))
-            gone = joined.where(F.col("id") != F.col("component")).select(F.col("id").alias("node"))
-            rows = cut(rows.join(gone, "node", "left_anti"))
-        elif not last:
-            last = True
-            continue
-        if last:
-            return member
-        turn += 1
+    for turn in itertools.count():
+        rows, member, share = joined_once(anchor_pairs(rows, turn, similarity), rows, member, sets, similarity)
+        if share < FEWEST:
+            return joined_once(rest_pairs(rows, similarity), rows, member, sets, similarity)[1]
+
+
+def joined_once(pairs: DataFrame, rows: DataFrame, member: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, float]:
+    """Buckets and groups after the links among ``pairs``, and the share of the buckets' rows that went."""
+    found = cut(links(pairs, sets, similarity))
+    if found.isEmpty():
+        return rows, member, 0.0
+    joined = cut(connected_components(found))
+    roots = joined.select(F.col("id").alias("group"), F.col("component").alias("root"))
+    member = cut(member.join(roots, "group", "left").select("node", "first", F.coalesce("root", "group").alias("group")))
+    gone = joined.where(F.col("id") != F.col("component")).select(F.col("id").alias("node"))
+    left = cut(rows.join(gone, "node", "left_anti"))
+    return left, member, 1 - left.count() / rows.count()
 
 
 def first_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
