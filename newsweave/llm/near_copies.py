@@ -6,10 +6,10 @@ number in the thousands. So a text has the covering tables of its whole fingerpr
 sample's own order. Two texts of similarity s have a sample in common with a chance of about s**SAMPLE a table, which
 makes 0.99 over all tables at 0.8 and more above. Every pair that is met is checked on all its shingles.
 
-Groups grow from representatives. A round compares each bucket with one anchor, so its work is linear in the
-bucket; linked texts go on as one representative. When a round takes less than FEWEST of the representatives, those left in
-a bucket are all compared with each other, in parts of bounded size. So texts of different groups, as far as they meet in a
-table, are below the similarity, and each text of a group is linked to it by pairs that reach it.
+Groups are the connected components of the pairs found. A round compares each bucket with one anchor, so its work
+is linear in the bucket; linked texts go on as one representative. When a round takes less than FEWEST of the rows,
+the members of a bucket that are still in different groups, absorbed ones included, are compared with each other in
+parts of bounded size. So every pair that meets in a table is in one group or has been checked.
 """
 
 from __future__ import annotations
@@ -133,15 +133,24 @@ def anchor_pairs(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
 
 
 def rest_pairs(rows: DataFrame, similarity: float, part: int = PART) -> DataFrame:
-    """(a, b): the pairs of a bucket; members are dealt into parts, each two parts are one join key."""
-    counts = rows.groupBy("table", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    parts = rows.join(counts, ["table", "key"]).withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
-    parts = parts.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    """(a, b): the pairs of a bucket from different groups.
+
+    Only members outside the largest group of a bucket are held against all its members. Both sides are
+    dealt into parts, each two parts are one join key.
+    """
+    sizes = rows.groupBy("table", "key", "group").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("table", "key").agg(F.max(F.struct("n", "group")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    mixed = mixed.where(F.col("kinds") > 1).select("table", "key", F.col("m.group").alias("main"), F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    parts = rows.join(mixed, ["table", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = parts.select("table", "key", F.col("own").alias("i"), F.col("other").alias("j"), F.col("node").alias("a"), F.col("size").alias("size_a"))
-    right = parts.select("table", "key", F.col("other").alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("size").alias("size_b"))
-    met = left.join(right, ["table", "key", "i", "j"]).where((F.col("a") < F.col("b")) & alike_in_size(similarity))
-    return met.select("a", "b").distinct()
+    place = {"i": F.col("own"), "j": F.col("other")}, {"i": F.col("other"), "j": F.col("own")}
+    left, right = [
+        side.withColumns(at).select("table", "key", "i", "j", "main", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "group")])
+        for side, at, x in ((parts.where(F.col("group") != F.col("main")), place[0], "a"), (parts, place[1], "b"))
+    ]
+    once = (F.col("group_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
+    met = left.join(right, ["table", "key", "i", "j", "main"]).where((F.col("group_a") != F.col("group_b")) & once & alike_in_size(similarity))
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def texts_and_buckets(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
@@ -161,23 +170,27 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similari
     sets = marked(docs, text, doc_id).select("text", "h1", "h2").join(met, ["h1", "h2"])
     sets = cut(sets.select("node", shingle_sets(F.col("text")).alias("shingles")).dropDuplicates(["node"]))
     member = texts.select("node", "first", F.col("node").alias("group"))
+    every, left = rows, rows
     for turn in itertools.count():
-        rows, member, share = joined_once(anchor_pairs(rows, turn, similarity), rows, member, sets, similarity)
-        if share < FEWEST:
-            return joined_once(rest_pairs(rows, similarity), rows, member, sets, similarity)[1]
-
-
-def joined_once(pairs: DataFrame, rows: DataFrame, member: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, float]:
-    """Buckets and groups after the links among ``pairs``, and the share of the buckets' rows that went."""
-    found = cut(links(pairs, sets, similarity))
-    if found.isEmpty():
-        return rows, member, 0.0
+        found = cut(links(anchor_pairs(left, turn, similarity), sets, similarity))
+        member, joined = regrouped(member, found)
+        gone = joined.where(F.col("id") != F.col("component")).select(F.col("id").alias("node"))
+        before, left = left, cut(left.join(gone, "node", "left_anti"))
+        if left.count() >= (1 - FEWEST) * before.count():
+            break
+    group = member.select("node", "group")
+    found = cut(links(rest_pairs(every.join(group, "node"), similarity), sets, similarity))
+    for side in ("a", "b"):
+        found = found.join(group.withColumnRenamed("node", side), side).drop(side).withColumnRenamed("group", side)
+    return regrouped(member, found)[0]
+
+
+def regrouped(member: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups after links (a, b) between them, and the groups that were linked (id, component)."""
     joined = cut(connected_components(found))
     roots = joined.select(F.col("id").alias("group"), F.col("component").alias("root"))
-    member = cut(member.join(roots, "group", "left").select("node", "first", F.coalesce("root", "group").alias("group")))
-    gone = joined.where(F.col("id") != F.col("component")).select(F.col("id").alias("node"))
-    left = cut(rows.join(gone, "node", "left_anti"))
-    return left, member, 1 - left.count() / rows.count()
+    member = member.join(roots, "group", "left").select("node", "first", F.coalesce("root", "group").alias("group"))
+    return cut(member), joined
 
 
 def first_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:

@@ -48,9 +48,11 @@ def test_against_all_pairs(spark, texts):
 
 def test_parts_of_a_bucket(spark):
     """All pairs of a bucket, whatever the size of its parts."""
-    rows = spark.range(30).select(F.lit(0).alias("table"), F.lit(5).cast("long").alias("key"), F.col("id").alias("node"), F.lit(10).cast("long").alias("size"))
+    rows = spark.range(30).select(F.lit(0).alias("table"), F.lit(5).cast("long").alias("key"), F.col("id").alias("node"), F.lit(10).cast("long").alias("size"), F.col("id").alias("group"))
     for part in (3, 7, 100):
         assert near_copies.rest_pairs(rows, 0.8, part).count() == 30 * 29 // 2
+        two = rows.withColumn("group", F.when(F.col("node") < 20, 0).otherwise(F.col("node")))
+        assert near_copies.rest_pairs(two, 0.8, part).count() == 20 * 10 + 10 * 9 // 2
 
 
 def test_awkward_rows(spark):
