@@ -84,3 +84,39 @@ def test_scratch_reset(spark):
     rows.write.parquet(path)
     sinks.reset_table(spark, rows, path)
     assert spark.read.schema("k BIGINT").parquet(path).count() == 0
+
+
+def test_arriving_batches_are_equal_whatever_the_keys(spark, monkeypatch):
+    from newsweave.plans import stream_queries
+
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 3)
+    path, seen = scratch_path(spark, "arriving"), {}
+    keys = [(n * n,) for n in range(51)]  # far from evenly spread
+    stream = stream_queries.arriving(spark, spark.createDataFrame(keys, "k BIGINT"), f"{path}/in", "k")
+    stream_queries.finish(jobs.for_each_batch(stream, lambda rows, b: seen.__setitem__(b, sorted(r[0] for r in rows.collect()))), f"{path}/checkpoint")
+    assert [len(seen[b]) for b in sorted(seen)] == [10, 10, 10, 10, 11]
+    assert [k for b in sorted(seen) for k in seen[b]] == [n * n for n in range(51)]
+
+
+def test_waiting_ends_when_micro_batches_follow_each_other_without_a_pause():
+    import time
+
+    from newsweave.streaming import runs
+
+    class Busy:
+        isActive, status, stopped = True, {"isTriggerActive": True}, False
+        started = time.monotonic()
+
+        @property
+        def lastProgress(self):
+            return {"batchId": int((time.monotonic() - self.started) / 0.3)}
+
+        def exception(self):
+            return None
+
+        def stop(self):
+            self.stopped = True
+
+    query = Busy()
+    runs.wait_for(query, lambda: True, seconds=10)
+    assert query.stopped and time.monotonic() - query.started < 5
