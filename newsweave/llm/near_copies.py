@@ -9,7 +9,9 @@ makes 0.99 over all tables at 0.8 and more above. Every pair that is met is chec
 Groups are the connected components of the pairs found. A round compares each bucket with one anchor, so its work
 is linear in the bucket; linked texts go on as one representative. When a round takes less than FEWEST of the rows,
 the members of a bucket that are still in different groups, absorbed ones included, are compared with each other in
-parts of bounded size. So every pair that meets in a table is in one group or has been checked.
+parts of bounded size. So every pair that meets in a table is in one group or has been checked. In that pass a join
+compares bitmaps of the shingles first: a bit that one text has and the other lacks is a shingle it does not share, so
+the bitmaps bound the similarity from above, and only pairs within the bound are sent on with their shingles.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ SMALL_SAMPLE = 2
 PRINTS = StructType().add("digest", StringType()).add("size", LongType()).add("keys", ArrayType(LongType()))
 PART = 1_000
 FEWEST = 0.01
+#: Bits of a text's bitmap of shingles: enough to tell 0.7 from 0.8 in texts of some hundred words.
+MARKS = 2_048
 #: Odd multipliers; each gives the hashes another order.
 ORDERS = [xxhash.xxh64_intdigest(str(i).encode(), SEED) | 1 for i in range(SAMPLES + SMALL_SAMPLES)]
 MASKS = np.array(table_masks(), dtype=np.int64).view(np.uint64)
@@ -93,6 +97,17 @@ def shingle_sets(texts: pd.Series) -> pd.Series:
     return pd.Series([shingle_hashes(words_of(t)).view(np.int64) for t in texts], dtype=object)
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def marks(sets: pd.Series) -> pd.Series:
+    """Bitmap of the shingles, 64 bits a number."""
+    rows = []
+    for shingles in sets:
+        bits = np.zeros(MARKS, dtype=np.uint8)
+        bits[np.asarray(shingles, dtype=np.int64).view(np.uint64) % np.uint64(MARKS)] = 1
+        rows.append(np.packbits(bits).view(np.int64))
+    return pd.Series(rows, dtype=object)
+
+
 def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -123,6 +138,17 @@ def alike_in_size(similarity: float) -> Column:
     return F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")
 
 
+def within_bound(similarity: float) -> Column:
+    """Whether two texts may have the similarity by their bitmaps: as many shingles at least are not shared as bits are."""
+
+    def shared(x: str, y: str) -> Column:
+        alone = F.zip_with(f"marks_{x}", f"marks_{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.col(f"size_{x}") - F.aggregate(alone, F.lit(0), lambda total, n: total + n)
+
+    most = F.least(shared("a", "b"), shared("b", "a"))
+    return most / (F.col("size_a") + F.col("size_b") - most) >= similarity
+
+
 def anchor_pairs(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
     """(a, b): each member of a bucket with the bucket's anchor of this turn."""
     order = F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node").alias("node"), F.col("size").alias("size"))
@@ -132,8 +158,8 @@ def anchor_pairs(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
     return met.where((F.col("a") != F.col("b")) & alike_in_size(similarity)).select("a", "b").distinct()
 
 
-def rest_pairs(rows: DataFrame, similarity: float, part: int = PART) -> DataFrame:
-    """(a, b): the pairs of a bucket from different groups.
+def rest_pairs(rows: DataFrame, similarity: float, part: int = PART, bitmaps: DataFrame | None = None) -> DataFrame:
+    """(a, b): the pairs of a bucket from different groups, with ``bitmaps`` (node, marks) those within their bound.
 
     Only members outside the largest group of a bucket are held against all its members. Both sides are
     dealt into parts, each two parts are one join key.
@@ -142,14 +168,18 @@ def rest_pairs(rows: DataFrame, similarity: float, part: int = PART) -> DataFram
     mixed = sizes.groupBy("table", "key").agg(F.max(F.struct("n", "group")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("kinds"))
     mixed = mixed.where(F.col("kinds") > 1).select("table", "key", F.col("m.group").alias("main"), F.ceil(F.col("n") / part).cast("int").alias("parts"))
     parts = rows.join(mixed, ["table", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    columns, near = ["node", "size", "group"], alike_in_size(similarity)
+    if bitmaps is not None:
+        parts = cut(parts.join(bitmaps, "node"))
+        columns, near = [*columns, "marks"], near & within_bound(similarity)
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     place = {"i": F.col("own"), "j": F.col("other")}, {"i": F.col("other"), "j": F.col("own")}
     left, right = [
-        side.withColumns(at).select("table", "key", "i", "j", "main", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "group")])
+        side.withColumns(at).select("table", "key", "i", "j", "main", *[F.col(c).alias(f"{c}_{x}") for c in columns])
         for side, at, x in ((parts.where(F.col("group") != F.col("main")), place[0], "a"), (parts, place[1], "b"))
     ]
     once = (F.col("group_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
-    met = left.join(right, ["table", "key", "i", "j", "main"]).where((F.col("group_a") != F.col("group_b")) & once & alike_in_size(similarity))
+    met = left.join(right, ["table", "key", "i", "j", "main"]).where((F.col("group_a") != F.col("group_b")) & once & near)
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
@@ -179,7 +209,9 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similari
         if left.count() >= (1 - FEWEST) * before.count():
             break
     group = member.select("node", "group")
-    found = cut(links(rest_pairs(every.join(group, "node"), similarity), sets, similarity))
+    bitmaps = sets.select("node", marks("shingles").alias("marks"))
+    met = cut(rest_pairs(every.join(group, "node"), similarity, bitmaps=bitmaps))
+    found = cut(links(met, sets, similarity))
     for side in ("a", "b"):
         found = found.join(group.withColumnRenamed("node", side), side).drop(side).withColumnRenamed("group", side)
     return regrouped(member, found)[0]

@@ -55,6 +55,26 @@ def test_parts_of_a_bucket(spark):
         assert near_copies.rest_pairs(two, 0.8, part).count() == 20 * 10 + 10 * 9 // 2
 
 
+def test_bitmaps_leave_out_unlike_pairs_only(spark):
+    """Edited copies of one text in one bucket: no pair at the similarity is lost, few others are sent on."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    made = []
+    for i in range(80):
+        copy = list(words)
+        for _ in range(rng.choice([1, 6, 7, 8, 9])):
+            copy[rng.randrange(len(copy))] = f"e{i}-{rng.randrange(10**6)}"
+        made.append(" ".join(copy))
+    texts = spark.createDataFrame(list(enumerate(made)), "node long, text string")
+    sets = texts.select("node", near_copies.shingle_sets("text").alias("shingles"))
+    rows = sets.select(F.lit(0).alias("table"), F.lit(5).cast("long").alias("key"), "node", F.size("shingles").cast("long").alias("size"), F.col("node").alias("group"))
+    bitmaps = sets.select("node", near_copies.marks("shingles").alias("marks"))
+    alike = {(i, j) for j in range(80) for i in range(j) if similarity(made[i], made[j]) >= near_copies.SIMILARITY}
+    got = {(r.a, r.b) for r in near_copies.rest_pairs(rows, near_copies.SIMILARITY, 30, bitmaps).collect()}
+    assert alike and alike <= got and len(got) <= 1.5 * len(alike) + 100
+    assert len(got) < near_copies.rest_pairs(rows, near_copies.SIMILARITY, 30).count() / 4
+
+
 def test_awkward_rows(spark):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [
