@@ -2,6 +2,7 @@
 
 import pytest
 
+from newsweave.operators import learning
 from newsweave.plans import QUERIES
 from newsweave.plans.views import view
 
@@ -34,3 +35,12 @@ def test_columns_and_filters_reach_the_scan(spark):
 def test_top_n_is_trimmed_before_the_shuffle(spark):
     text = plan(QUERIES["newest_news_per_source"](spark, SF))
     assert "WindowGroupLimit" in text and "5000, Partial" in text
+
+
+def test_classification_counts_words_once(spark):
+    """The texts are not opened again by the branches of the two levels."""
+    rows = [(i, "good kind words" if i % 2 else "bad rude words", "ab"[i % 2], "xy"[i // 2 % 2]) for i in range(40)]
+    train = spark.createDataFrame(rows, "id long, text string, one string, two string").coalesce(1)
+    made = learning.classify_two_levels(train, train.select("id", "text"), "text", "one", "two", ["a", "b"], features=64)
+    assert made.count() == 40 and made.where("predicted_category IS NULL").count() == 0
+    assert "ExistingRDD" in plan(made) and "UDF(text" not in plan(made)
