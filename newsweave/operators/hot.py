@@ -25,6 +25,7 @@ from newsweave.fixed_values import (
 from newsweave.functions.text import SENTENCE_END, clean_term, contains_any, hits, let
 from newsweave.operators import stats
 from newsweave.operators.ranking import first_per_key, top_n_per_key
+from newsweave.session import spread_work
 
 WORD = r"[\p{L}\p{N}]+"
 
@@ -123,21 +124,24 @@ def cluster_keywords(
 
     ``texts`` has label, text_id and text. ``max_features`` keeps the commonest terms of a cluster
     only. Weights are smoothed idf times count, unit length per
-    text. All steps are aggregates and equi joins over (label, term) and (label, text_id).
+    text. Texts are dealt first and counted where they lie; their terms then travel three times: to the
+    texts' number with the term, back to the text for its length, and to the sum. The label sizes, one
+    row per cluster, are sent to all tasks: a join by label would put a large cluster into one.
     """
     terms = (_char_terms if characters else _word_terms)(F.col("text"))
     used = texts.where(F.coalesce("text", F.lit("")) != "")
-    tf = used.select("label", "text_id", F.explode(terms).alias("term"))
+    tf = spread_work(used.select("label", "text_id", "text"), "label", "text_id").select("label", "text_id", F.explode(terms).alias("term"))
     tf = tf.groupBy("label", "text_id", "term").agg(F.count("*").alias("tf"))
-    features = tf.groupBy("label", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     if max_features is not None:
+        features = tf.groupBy("label", "term").agg(F.sum("tf").alias("total"))
         features = top_n_per_key(features, ["label"], [F.desc("total"), F.col("term")], max_features)
+        tf = tf.join(features.select("label", "term"), ["label", "term"], "left_semi")
     sizes = used.groupBy("label").agg(F.count("*").alias("n"))
+    counted = tf.withColumn("df", F.count("*").over(Window.partitionBy("label", "term"))).join(F.broadcast(sizes), "label")
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    idfs = features.join(sizes, "label").select("label", "term", idf.alias("idf"))
-    weighted = tf.join(idfs, ["label", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy("label", "text_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    summed = weighted.join(norms, ["label", "text_id"]).groupBy("label", "term")
+    weighted = counted.select("label", "text_id", "term", (F.col("tf") * idf).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("label", "text_id")))
+    summed = weighted.withColumn("norm", norm).groupBy("label", "term")
     scored = summed.agg(F.round(F.sum(F.col("w") / F.col("norm")), 6).alias("score"))
     cleaned = scored.withColumn("keyword", clean_term(F.col("term"))).where(F.length("keyword").between(2, 10))
     best = top_n_per_key(cleaned, ["label"], [F.desc("score"), F.col("term")], topk, rank="rank")

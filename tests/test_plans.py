@@ -44,3 +44,11 @@ def test_classification_counts_words_once(spark):
     made = learning.classify_two_levels(train, train.select("id", "text"), "text", "one", "two", ["a", "b"], features=64)
     assert made.count() == 40 and made.where("predicted_category IS NULL").count() == 0
     assert "ExistingRDD" in plan(made) and "UDF(text" not in plan(made)
+
+
+def test_keywords_open_texts_once(spark):
+    """Terms of a text are made in one place; three exchanges carry them: by term, by text, and to the sums."""
+    text = plan(QUERIES["cluster_keywords"](spark, SF)).split("+- == Initial Plan ==")[-1]
+    assert len([line for line in text.splitlines() if "Generate explode" in line]) == 1
+    moved = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert len([line for line in moved if "(label" in line and "term#" in line.split("ENSURE")[0]]) == 2
