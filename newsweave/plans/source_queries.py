@@ -8,7 +8,7 @@ from newsweave.fixed_values import BODY_CLASSES
 from newsweave.functions.text import strip_html
 from newsweave.plans.registry import query
 from newsweave.plans.views import table, view
-from newsweave.session import scratch_path
+from newsweave.session import scratch_path, spread_work
 from newsweave.sources import feed, files, news, pages, sinks
 
 
@@ -318,10 +318,11 @@ def image_inventory(spark, sf_dir):
 def image_files(spark, sf_dir):
     """Files written from the pages, one each, and read again: by name and size, then by their first bytes."""
     path = scratch_path(spark, "images")
-    pages = table(spark, sf_dir, "pages").select(
-        "page_id", F.when(F.col("page_id") % 3 == 0, "note").otherwise("image").alias("kind"), F.concat(F.lit("GIF89a"), F.regexp_replace("html", "\n", " ")).alias("value")
-    )
-    pages.repartition("page_id").write.partitionBy("kind", "page_id").text(path)
+    kind = F.when(F.col("page_id") % 3 == 0, "note").otherwise("image")
+    name = F.format_string("kind=%s/%d/page_id=%d.txt", kind, F.pmod("page_id", F.lit(100)), "page_id")
+    value = F.concat(F.coalesce(F.concat(F.lit("GIF89a"), F.regexp_replace("html", "\n", " ")), F.lit("")), F.lit("\n"))
+    pages = spread_work(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    files.write_files(pages.select(name.alias("name"), value.alias("value")), path)
     found = files.read_images(spark, f"{path}/kind=image", "*.txt", after="2000-01-01T00:00:00", min_bytes=2000)
     page = F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long")
     return files.image_inventory(found.withColumn("page_id", page)).select("page_id", "size", "sniffed", "fix_name")

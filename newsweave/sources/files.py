@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,6 +81,30 @@ def image_inventory(images: DataFrame, name_pattern: str | None = None, limit: i
     return fixed.orderBy("uploaded", "filename").limit(limit) if limit > 0 else fixed
 
 
+def write_files(rows: DataFrame, path: str) -> int:
+    """One file per row below a shared folder, named by ``name`` (may have folders) and holding the bytes of ``value``.
+
+    Tasks write the files themselves: Spark's writer needs a folder per file, which its committer moves one by one
+    in the driver. A task that runs again writes the same files again. Returns the number of files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, root = fs.FileSystem.from_uri(path)
+        made = set()
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                file = f"{root}/{name}"
+                if (folder := file.rpartition("/")[0]) not in made:
+                    place.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with place.open_output_stream(file) as out:
+                    out.write(value or b"")
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+
+    written = rows.select("name", F.col("value").cast("binary")).mapInArrow(run, "files long")
+    return written.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
 def read_images(
     spark: SparkSession, path: str, pattern: str | None = None, after: str | None = None, before: str | None = None, min_bytes: int = 0
 ) -> DataFrame:

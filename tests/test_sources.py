@@ -46,6 +46,16 @@ def test_image_files(spark):
     assert files.image_inventory(files.read_images(spark, path), r"^[ad]\.", 1).count() == 1
 
 
+def test_files_are_written_one_a_row(spark):
+    path = scratch_path(spark, "written")
+    rows = [(f"kind=a/{i % 3}/n{i}.txt", b"\x00GIF" * (i + 1)) for i in range(40)] + [("kind=b/x.txt", None)]
+    for _ in range(2):  # a task may run again
+        assert files.write_files(spark.createDataFrame(rows, "name string, value binary").repartition(5), path) == 41
+    local = path.removeprefix("file:")
+    assert {p.removeprefix(f"{local}/"): open(p, "rb").read() for p in glob.glob(f"{local}/**/*.txt", recursive=True)} == {n: v or b"" for n, v in rows}
+    assert files.read_images(spark, f"{path}/kind=a", "*.txt").count() == 40
+
+
 def test_feed_posts_skip_other_cards(spark):
     payload = json.dumps(
         {"data": {"cards": [
