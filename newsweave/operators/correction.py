@@ -33,12 +33,15 @@ def head_kind(head: Column) -> Column:
 
 def _nearby(edges: DataFrame, centre: str, other: str, k: int) -> DataFrame:
     """For every centre enough of its first edges (by relation, then other end) to answer any request
-    for the first k that leave one other end out: k edges of each of the first k + 1 other ends."""
-    few = top_n_per_key(edges.select(centre, "r", other), [centre, other], [F.col("r")], k)
-    firsts = few.groupBy(centre, other).agg(F.min("r").alias("_first"))
-    ends = top_n_per_key(firsts, [centre], [F.col("_first"), F.col(other)], k + 1).select(centre, other)
-    kept = few.join(ends, [centre, other])
-    listed = F.array_sort(F.collect_list(F.struct(F.col("r"), F.col(other).alias("end"))))
+    for the first k that leave one other end out: k edges of each of the first k + 1 other ends.
+
+    The k edges of two ends travel as one row, so the choice of ends needs no join back."""
+    few = top_n_per_key(edges.select(centre, "r", other), [centre, other], [F.col("r")], k, spread=False)
+    ends = few.groupBy(centre, other).agg(F.collect_list(F.struct("r")).alias("_rs"))
+    first = F.array_min(F.transform("_rs", lambda e: e["r"]))
+    kept = top_n_per_key(ends.withColumn("_first", first), [centre], [F.col("_first"), F.col(other)], k + 1)
+    pairs = F.transform("_rs", lambda e: F.struct(e["r"].alias("r"), F.col(other).alias("end")))
+    listed = F.array_sort(F.flatten(F.collect_list(pairs)))
     return kept.groupBy(centre).agg(listed.alias(f"_near_{centre}"))
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from newsweave.operators import learning
+from newsweave.operators import correction, learning
 from newsweave.plans import QUERIES
 from newsweave.plans.views import view
 
@@ -52,3 +52,10 @@ def test_keywords_open_texts_once(spark):
     assert len([line for line in text.splitlines() if "Generate explode" in line]) == 1
     moved = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
     assert len([line for line in moved if "(label" in line and "term#" in line.split("ENSURE")[0]]) == 2
+
+
+def test_neighbours_are_chosen_without_a_join_back(spark):
+    edges = spark.createDataFrame([("a", "r", "b"), ("a", "s", "b"), ("a", None, "c"), ("d", "r", "b")], "h string, r string, t string")
+    assert "Join" not in plan(correction._nearby(edges, "h", "t", 2))
+    near = {row.h: [tuple(e) for e in row._near_h] for row in correction._nearby(edges, "h", "t", 2).collect()}
+    assert near == {"a": [(None, "c"), ("r", "b"), ("s", "b")], "d": [("r", "b")]}
