@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from newsweave.llm.simhash import BLOCK, LOWER, SEED, table_masks
 from newsweave.operators.components import connected_components
-from newsweave.session import cut
+from newsweave.session import bounded_batches, cut, give_back
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -89,12 +89,15 @@ def prints(texts: pd.Series) -> pd.DataFrame:
         tokens = words_of(text)
         hashes = shingle_hashes(tokens)
         rows.append((xxhash.xxh3_128_hexdigest(b" ".join(tokens)), len(hashes), table_keys(hashes)))
+    give_back()
     return pd.DataFrame(rows, columns=["digest", "size", "keys"])
 
 
 @F.pandas_udf(ArrayType(LongType()))
 def shingle_sets(texts: pd.Series) -> pd.Series:
-    return pd.Series([shingle_hashes(words_of(t)).view(np.int64) for t in texts], dtype=object)
+    sets = pd.Series([shingle_hashes(words_of(t)).view(np.int64) for t in texts], dtype=object)
+    give_back()
+    return sets
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -195,6 +198,7 @@ def texts_and_buckets(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFram
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """node, group, first: for each different text its group (smallest node) and its first row."""
+    bounded_batches(docs.sparkSession)
     texts, rows = texts_and_buckets(docs, text, doc_id)
     met = rows.select("node").distinct().join(texts, "node").select("node", "first.h1", "first.h2")
     sets = marked(docs, text, doc_id).select("text", "h1", "h2").join(met, ["h1", "h2"])

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import PandasUDFType
 
 from newsweave.llm.columns import hint_small
-from newsweave.session import cut
+from newsweave.session import bounded_batches, cut, give_back
 
 SEQUENCE = 2048
 PACKET = 256
@@ -169,6 +169,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, text: str, source: str, doc_
                 for ids in words.encode(texts):
                     sizes.append(len(ids) // 2)
                     data.append(press.compress(ids))
+            give_back()
             yield pd.DataFrame({"n": sizes, "data": data})
 
     kind = T.StructType([T.StructField("n", T.LongType()), T.StructField("data", T.BinaryType())])
@@ -233,6 +234,7 @@ def packed(docs: DataFrame, tokenizer_path: str, shares: dict[str, float] | None
     with equal ids are documents of their own. Neighbouring packets of a document in one window are one
     piece. An empty table gives an empty table.
     """
+    bounded_batches(docs.sparkSession)
     tokens = cut(tokenized(docs, tokenizer_path, text, source, doc_id))
     pieces = layout(tokens.select("_row", "doc_id", "source", "n"), shares)
     both = tokens.join(pieces, "_row").select("doc_id", "source", "n", "data", "pieces")
@@ -253,6 +255,7 @@ def packed(docs: DataFrame, tokenizer_path: str, shares: dict[str, float] | None
             for r in rows:
                 r["ids"] = ids[r["start"] : r["start"] + r["length"]].tobytes()
             out.append(rows)
+        give_back()
         return pd.Series(out)
 
     pieces_of = F.pandas_udf(spread, kind, PandasUDFType.SCALAR)

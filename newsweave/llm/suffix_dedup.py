@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 
 from newsweave.llm import exchange as ex
 from newsweave.llm.suffixes import Suffixes
+from newsweave.session import give_back
 
 WINDOW = 100
 SEED = 32
@@ -342,6 +343,8 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
             facts.append((*row, kept.decode("utf-8", "ignore")) if keep_text else row)
         for i, name in enumerate(e.split()[0] for e in extra):
             out[name] = [f[i] for f in facts]
+        del group, gone, facts
+        give_back()
         return out
 
     schema = ", ".join([f"`{n}` {k}" for n, k in kinds.items()] + extra)
