@@ -47,9 +47,10 @@ def cluster_texts(spark, sf_dir):
 
 
 def member_texts(docs):
-    bodies = docs.select("label", (F.col("doc_id") * 2).alias("text_id"), embedding_text(F.col("title"), F.col("content"), None).alias("text"))
-    titles = docs.select("label", (F.col("doc_id") * 2 + 1).alias("text_id"), F.col("title").alias("text"))
-    return bodies.unionByName(titles)
+    """Body and title of each member, side by side in its row: sums by label over a union of frames with the same partitions go wrong (``united``)."""
+    body = F.struct((F.col("doc_id") * 2).alias("text_id"), embedding_text(F.col("title"), F.col("content"), None).alias("text"))
+    title = F.struct((F.col("doc_id") * 2 + 1).alias("text_id"), F.col("title").alias("text"))
+    return docs.select("label", F.inline(F.array(body, title)))
 
 
 _KEYWORDS = r"""

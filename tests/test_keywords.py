@@ -23,3 +23,15 @@ def test_terms_are_not_rows(spark):
     texts = spark.range(4).select((F.col("id") % 2).alias("label"), F.col("id").alias("text_id"), F.lit("some words here").alias("text"))
     plan = hot.cluster_keywords(texts)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_sizes_of_clusters_hold_bodies_and_titles(spark):
+    """Both texts of a member count for its label once, also where members come partitioned by label."""
+    from newsweave.plans.hot_queries import member_texts
+
+    rows = [(i % 3, i, f"title {i}", "some words " * 50) for i in range(60)]
+    docs = spark.createDataFrame(rows, "label INT, doc_id LONG, title STRING, content STRING")
+    members = hot.cluster_members(docs)
+    texts = member_texts(members)
+    assert "Union" not in texts._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in texts.groupBy("label").agg(F.count("*"), F.countDistinct("text_id")).collect()) == [(i, 40, 40) for i in range(3)]
